@@ -133,6 +133,8 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKE
     given twice is packed twice. The result is the same in every run.
     """
     shards = max(1, math.ceil(documents.count() / shard_documents))
+    # A set number of partitions, as the rows are few bytes and much work: merging small partitions would put all on one task.
+    tasks = min(shards, 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     items = token_counts(documents, tokenizer).where("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +142,7 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKE
         c, i, p, f, n = pack_shard(pdf["doc_id"].to_numpy(), pdf["n_tokens"].to_numpy(), capacity)
         return pd.DataFrame({"container_id": (int(key[0]) << 32) + c, "doc_id": i, "piece": p.astype(np.int32), "first_token": f, "n_tokens": n.astype(np.int32)})
 
-    return items.groupBy("shard").applyInPandas(run, PACKED)
+    return items.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, PACKED)
 
 
 def fill_report(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
