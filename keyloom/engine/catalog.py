@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from keyloom import errors as X
 from keyloom.functions import types as K
+from keyloom.plans.validator import check_names
 from keyloom.sources.files import Files
 
 
@@ -86,4 +87,5 @@ class Catalog:
         types = {f.name: K.type_of(f.dataType) for f in self.spark.read.parquet(path).schema.fields}
         if primary not in types:
             raise X.ColumnNotFound(primary)
+        check_names(list(types))
         return self.add(database, name, types, primary, path)

@@ -19,8 +19,8 @@ VALUE = "_value"
 def build(rows: DataFrame, table: TableInfo, column: str) -> int:
     """Postings of all rows that have the column, sorted by value so that row groups can be skipped; gives their number."""
     path = table.index_path(column)
-    postings(rows, table, column).sort(VALUE).write.mode("overwrite").parquet(path + "/n=0")
-    return rows.sparkSession.read.parquet(path + "/n=0").count()
+    postings(rows, table, column).sort(VALUE).write.mode("overwrite").parquet(path + "/w-0")
+    return rows.sparkSession.read.parquet(path + "/w-0").count()
 
 
 def postings(rows: DataFrame, table: TableInfo, column: str) -> DataFrame:
@@ -28,11 +28,11 @@ def postings(rows: DataFrame, table: TableInfo, column: str) -> DataFrame:
 
 
 def extend(rows: DataFrame, table: TableInfo, column: str, seq: int) -> None:
-    postings(rows, table, column).write.parquet(f"{table.index_path(column)}/n={seq}")
+    postings(rows, table, column).write.parquet(f"{table.index_path(column)}/w-{seq}")
 
 
 def read(spark: SparkSession, table: TableInfo, column: str) -> DataFrame:
-    return spark.read.parquet(table.index_path(column)).select(VALUE, F.col(f"`{table.primary}`"))
+    return spark.read.option("recursiveFileLookup", "true").parquet(table.index_path(column)).select(VALUE, F.col(f"`{table.primary}`"))
 
 
 def _inside(path: P.Point | P.Range, value: Column) -> Column:

@@ -24,7 +24,7 @@ def top_distinct(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
     is no burden; then n rows are taken from the top.
     """
     rest = [c for c in df.columns if c not in (by, key)]
-    one = df.groupBy(by).agg(F.min(F.struct(key, *rest)).alias("_r"))
+    one = df.groupBy(by).agg(F.min_by(F.struct(key, *rest), key).alias("_r"))
     return one.select(by, *[F.col(f"_r.{c}").alias(c) for c in (key, *rest)]).orderBy(by).limit(n).select(*df.columns)
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.operators.postings import PAIR, merge_postings
+from keyloom.operators.postings import merge_postings
 
 #: A block of the filter: 512 words of 64 bits, 4 KiB.
 WORDS = 512
@@ -48,8 +48,9 @@ def with_might_contain(df: DataFrame, bloom: DataFrame, keys: list[str], n_block
     """``df`` with maybe_parent: false proves that the filter's parents lack the key. The filter is broadcast: n_blocks * 4 KiB at most."""
     block, spots = _positions(keys)
     df = df.withColumn("_block", F.pmod(block, F.lit(n_blocks)).cast("int")).withColumn("_spots", spots)
-    hit = F.forall("_spots", lambda p: F.getbit(F.get("words", F.shiftright(p, 6)), p.bitwiseAND(63)) == 1)
-    return df.join(F.broadcast(bloom), df["_block"] == bloom["block"], "left").withColumn("maybe_parent", F.coalesce(hit, F.lit(False))).drop("_block", "_spots", "block", "words")
+    hit = F.forall("_spots", lambda p: F.getbit(F.get("_words", F.shiftright(p, 6)), p.bitwiseAND(63)) == 1)
+    bloom = bloom.select(F.col("block").alias("_b"), F.col("words").alias("_words"))
+    return df.join(F.broadcast(bloom), df["_block"] == bloom["_b"], "left").withColumn("maybe_parent", F.coalesce(hit, F.lit(False))).drop("_block", "_spots", "_b", "_words")
 
 
 def known_indexes(schema: DataFrame) -> DataFrame:
@@ -112,6 +113,3 @@ def filter_report(fragments: DataFrame, versions: DataFrame, schema: DataFrame)
     met = posts.join(keys, (posts["table_id"] == keys["_k"]) & (posts["primary_key"] == keys["_v"]), "left")
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return met.agg(F.count(F.lit(1)).alias("n_postings"), n(~F.col("maybe_parent")).alias("n_proven"), n(F.col("maybe_parent")).alias("n_verified"), n(F.col("maybe_parent") & F.col("_there").isNull()).alias("n_let_through"))
-
-
-__all__ = ["PAIR", "bloom_filter", "filter_report", "orphan_references", "orphan_report", "with_might_contain"]

@@ -17,7 +17,7 @@ def attributes(records: DataFrame, schema: DataFrame) -> list[tuple]:
     Found before the pivot, so that it needs one pass; the list is as long as the catalogue at most.
     """
     seen = records.select("keyspace_id", "column_id").distinct()
-    rows = schema.join(seen, ["keyspace_id", "column_id"], "left_semi").select("keyspace_id", "column_id", "column_name", "column_type", "is_primary").distinct()
+    rows = schema.select("keyspace_id", "column_id", "column_name", "column_type", "is_primary").join(seen, ["keyspace_id", "column_id"], "left_semi").distinct()
     found = sorted(map(tuple, rows.limit(MAX_ATTRIBUTES + 1).collect()))
     if len(found) > MAX_ATTRIBUTES:
         raise ValueError(f"more than {MAX_ATTRIBUTES} attributes")
@@ -32,7 +32,7 @@ def usable_records(records: DataFrame, schema: DataFrame) -> DataFrame:
     """
     columns = schema.select(F.col("keyspace_id").alias("_k"), F.col("column_id").alias("_c"), F.col("column_type").alias("_t")).distinct()
     keys = schema.where("is_primary").groupBy(F.col("keyspace_id").alias("_pk")).agg(F.min("column_type").alias("_pt"))
-    rows = records.where("column_value IS NOT NULL AND primary_column_value IS NOT NULL")
+    rows = records.select("keyspace_id", "primary_column_value", "column_id", "column_value", "txn_id", "record_id").where("column_value IS NOT NULL AND primary_column_value IS NOT NULL")
     rows = rows.join(columns, (rows["keyspace_id"] == columns["_k"]) & (rows["column_id"] == columns["_c"]))
     rows = rows.join(keys, rows["keyspace_id"] == keys["_pk"])
     rows = rows.where(is_value_of(F.col("column_value"), F.col("_t")) & is_value_of(F.col("primary_column_value"), F.col("_pt")))
