@@ -16,6 +16,8 @@ ERROR_BOUND = 0.01
 TIGHTEN = 0.5
 #: Keys of the first layer; each further layer holds twice as many.
 FIRST_CAPACITY, GROWTH = 1024, 2
+#: Layers are made for this part of the error they may have, as small filters err a little more than the formula says.
+MARGIN = 0.8
 
 
 class BloomChain:
@@ -32,8 +34,9 @@ class BloomChain:
     def _open(self) -> dict:
         i = len(self.layers)
         error, room = self.bound * (1 - TIGHTEN) * TIGHTEN**i, self.capacity * GROWTH**i
-        bits = max(64, math.ceil(-room * math.log(error) / math.log(2) ** 2))
-        self.layers.append({"error": error, "room": room, "bits": bits, "hashes": max(1, math.ceil(-math.log2(error))), "n": 0, "words": np.zeros((bits + 63) // 64, np.uint64)})
+        made_for = MARGIN * error
+        bits = max(64, math.ceil(-room * math.log(made_for) / math.log(2) ** 2))
+        self.layers.append({"error": error, "room": room, "bits": bits, "hashes": max(1, math.ceil(-math.log2(made_for))), "n": 0, "words": np.zeros((bits + 63) // 64, np.uint64)})
         return self.layers[-1]
 
     @staticmethod

@@ -1,0 +1,367 @@
+"""The operators against brute force: nulls, ties, repeats, empty inputs, hot keys, extra columns."""
+
+import datetime as dt
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from keyloom.operators import balanced, incremental, membership, merging, postings, references, replay, wide
+
+UTC = dt.timezone.utc
+DAY = dt.datetime(2020, 1, 1, tzinfo=UTC)
+FRAGMENT = "fragment_id long, keyspace_id long, index_value string, entries array<struct<primary_key:string,txn_id:long,is_present:boolean>>, written_at timestamp"
+
+
+def fragments(seed=0, n=4000):
+    rnd = random.Random(seed)
+    out = [(0, 101, "v0", None, DAY), (-1, 101, None, [("k1", 5, True)], None), (-2, 101, "v0", [], DAY)]
+    for i in range(1, n):
+        ks = rnd.choice([101, 101, 102, 999])
+        value = "v0" if rnd.random() < 0.4 else rnd.choice(["V0", " v0", f"v{rnd.randrange(60)}", None])
+        entries = []
+        for _ in range(rnd.randrange(5)):
+            key = "k1" if rnd.random() < 0.4 else rnd.choice([None, *[f"k{rnd.randrange(50)}" for _ in range(6)]])
+            txn = None if rnd.random() < 0.01 else rnd.randrange(100_000) if rnd.random() < 0.9 else 7
+            entries.append((key, txn, rnd.choice([True, False, True, None])))
+        out.append((i, ks, value, entries, DAY + dt.timedelta(days=i % 40)))
+        if rnd.random() < 0.1:
+            out.append((i + 10_000, ks, value, entries, DAY))
+    return out
+
+
+def newest(rows):
+    """(keyspace, value, key) -> (newest txn, whether present); a present entry wins a tie."""
+    best = {}
+    for _, ks, value, entries, _ in rows:
+        for key, txn, here in entries or []:
+            if key is not None and here is not None:
+                rank = (postings.OLDEST if txn is None else txn, here)
+                best[ks, value, key] = max(best.get((ks, value, key), rank), rank)
+    return best
+
+
+@pytest.mark.parametrize("tasks", [1, 8, 40])
+def test_merge_postings(spark, tasks):
+    rows = fragments()
+    df = spark.createDataFrame(rows, FRAGMENT).withColumn("_task", F.lit("x")).withColumn("_n", F.lit(1)).withColumn("_e", F.lit(None).cast("int"))
+    plan = postings.shard_plan(df, tasks)
+    got = postings.merge_postings(df, plan)
+    assert {tuple(r)[1:] for r in got.collect()} == {(*k, t) for k, (t, here) in newest(rows).items() if here}
+    if tasks > 1:
+        assert any(k[:2] == (101, "v0") for k in plan.heavy) and plan.hot
+    assert postings.present_postings(spark.createDataFrame([], FRAGMENT)).count() == 0
+
+
+def test_work_is_spread(spark):
+    rows = [(i, 101, "one" if i % 10 < 9 else f"v{i}", [(f"k{i % 997}", i, True)], DAY) for i in range(20_000)]
+    df = spark.createDataFrame(rows, FRAGMENT)
+    plan = postings.shard_plan(df, 8)
+    per = [r[1] for r in plan.route(postings.usable_entries(df), F.col("fragment_id")).groupBy(balanced.TASK).count().collect()]
+    assert len(per) == 8 and max(per) < 1.6 * 20_000 / 8
+    side = spark.createDataFrame([(101, "one", "x"), (101, "v9", "y")], "keyspace_id long, index_value string, z string")
+    copies = Counter(r["z"] for r in plan.replicate(side).collect())
+    assert copies["x"] == 8 and copies["y"] == 1
+
+
+def test_pack():
+    at = balanced.pack([(5, 0), (4, 1), (3, 2), (3, 3), (1, 4)], 2)
+    assert sum(w for w, i in [(5, 0), (4, 1), (3, 2), (3, 3), (1, 4)] if at[i] == 0) == 8
+
+
+def test_value_sizes(spark):
+    rows = fragments(3)
+    got = {(r.keyspace_id, r.index_value): (r.n_keys, r.n_entries, r.n_fragments) for r in postings.value_sizes(spark.createDataFrame(rows, FRAGMENT)).collect()}
+    keys = Counter(k[:2] for k, (_, here) in newest(rows).items() if here)
+    n = Counter()
+    f = Counter()
+    for _, ks, v, e, _ in rows:
+        n[ks, v] += len(e or [])
+        f[ks, v] += 1
+    assert got == {k: (c, n[k], f[k]) for k, c in keys.items()}
+
+
+SCHEMA = "keyspace_id long, table_name string, column_id int, column_name string, column_type string, is_primary boolean, secondary_index_keyspace_id long"
+COLUMNS = [(1, "t", 0, "id", "I64", True, None), (1, "t", 1, "a", "VARCHAR", False, 101), (1, "t", 2, "b", "U8", False, None), (1, "t", 3, "d", "DATE", False, None), (1, "t", 4, "f", "F64", False, None), (1, "t", 5, "w", "BOOLEAN", False, None), (2, "s", 0, "k", "VARCHAR", True, None), (2, "s", 1, "c", "I64", False, 102)]
+VERSIONS = "sstable_id long, keyspace_id long, key_value string, txn_id long, is_tombstone boolean"
+
+
+@pytest.mark.parametrize("max_blocks", [1, 2048])
+def test_orphans(spark, max_blocks):
+    rnd = random.Random(5)
+    rows = fragments(5)
+    versions = [(i, rnd.choice([1, 2]), f"k{rnd.randrange(40)}", rnd.randrange(100_000), rnd.random() < 0.4) for i in range(70)]
+    versions += versions[:9] + [(1, 1, "K1", 3, False), (1, None, "k1", 1, False), (1, 1, None, 1, False)]
+    table = {101: 1, 102: 2}
+    want = set()
+    for (ks, value, key), (txn, here) in newest(rows).items():
+        if here and ks in table:
+            mine = [(t, dead) for _, k, v, t, dead in versions if (k, v) == (table[ks], key)]
+            kind = "missing" if not mine else "deleted" if max(mine)[1] else "late" if min(mine)[0] > txn else None
+            if kind:
+                want.add((ks, value, key, kind))
+    args = spark.createDataFrame(rows, FRAGMENT), spark.createDataFrame(versions, VERSIONS).withColumn("block", F.lit(1)).withColumn("words", F.lit(2)), spark.createDataFrame(COLUMNS, SCHEMA)
+    got = references.orphan_references(*args, max_blocks=max_blocks)
+    assert {(r.keyspace_id, r.index_value, r.primary_key, r.orphan_kind) for r in got.collect()} == want
+    assert sum(r.n_orphans for r in references.orphan_report(*args).collect()) == len(want)
+    none = references.orphan_references(args[0], spark.createDataFrame([], VERSIONS), args[2])
+    assert {r.orphan_kind for r in none.collect()} == {"missing"}
+
+
+def test_filter_has_no_false_negatives(spark):
+    parents = spark.range(5000).select(F.lit(1).cast("long").alias("t"), F.col("id").cast("string").alias("k"))
+    asked = spark.range(10_000).select(F.lit(1).cast("long").alias("t"), F.col("id").cast("string").alias("k"), "id")
+    n = references.bloom_blocks(5000)
+    out = references.with_might_contain(asked, references.bloom_filter(parents, ["t", "k"], n), ["t", "k"], n)
+    assert out.where("id < 5000 AND NOT maybe_parent").count() == 0
+    assert out.where("id >= 5000 AND maybe_parent").count() < 150
+
+
+def test_chain_bound():
+    rng = np.random.default_rng(1)
+    hashes = lambda n: (rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64), rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64))
+    chain = membership.BloomChain(0.01, 256)
+    old = hashes(60_000)
+    for i in range(0, 60_000, 999):
+        chain.see(old[0][i : i + 999], old[1][i : i + 999])
+    assert chain.contains(*old).all()
+    assert len(chain.layers) > 6 and chain.promised < 0.01
+    assert [x["room"] for x in chain.layers[:3]] == [256, 512, 1024]
+    assert chain.contains(*hashes(50_000)).mean() < 0.01
+    a = np.array([5, 5, 6], np.uint64)
+    fresh = membership.BloomChain()
+    assert fresh.see(a, a).tolist() == [False, True, False] and fresh.see(a, a).all()
+
+
+def test_seen_before(spark):
+    rnd = random.Random(2)
+    versions = [(1, rnd.choice([1, 2]), f"k{rnd.randrange(80)}", i, False) for i in range(100)] + [(1, 1, None, 1, False), (1, None, "k1", 1, False)]
+    probes = [(i, rnd.choice([1, 2, None]), "hot" if rnd.random() < 0.4 else rnd.choice([None, " k1", f"k{rnd.randrange(200)}"]), DAY) for i in rnd.sample(range(5000), 2000)]
+    had = {(k, v) for _, k, v, _, _ in versions if k is not None and v is not None}
+    want = set()
+    for i, k, v, _ in sorted(probes, key=lambda p: p[0]):
+        if k is not None and v is not None:
+            if (k, v) in had:
+                want.add(i)
+            had.add((k, v))
+    v, p = spark.createDataFrame(versions, VERSIONS), spark.createDataFrame(probes, "probe_id long, keyspace_id long, key_value string, arrived_at timestamp").withColumn("shard", F.lit("x"))
+    got = [r[0] for r in membership.seen_before(v, p).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    loose = [r[0] for r in membership.seen_before(v, p, shards=2, bound=0.5).collect()]
+    assert set(loose) == want
+    r = membership.error_report(v, p).first()
+    assert r.n_keys == len({(k, x) for _, k, x, _ in probes if k and x}) and r.wrong_rate <= 0.02
+    assert membership.seen_before(spark.createDataFrame([], v.schema), spark.createDataFrame([], p.schema)).count() == 0
+    assert membership.error_report(v, spark.createDataFrame([], p.schema)).first().wrong_rate is None
+
+
+def test_stored_filters(spark):
+    import struct
+    import zlib
+
+    body = bytearray(512)
+    body[3] = body[9] = 1
+    ok = struct.pack("<II", zlib.crc32(body), 512) + bytes(body)
+    bad = bytearray(ok)
+    bad[20] = 1
+    rows = [(1, 1, ok), (1, 2, bytes(bad)), (1, 3, ok[:100]), (1, 4, None), (1, 5, b""), (1, 6, ok + b"x")]
+    got = {r.sstable_id: (r.filter_state, r.n_set) for r in membership.stored_filter_state(spark.createDataFrame(rows, "keyspace_id long, sstable_id long, bloom_filter binary")).collect()}
+    assert got == {1: ("ok", 2), 2: ("damaged", None), 3: ("cut", None), 4: ("none", None), 5: ("cut", None), 6: ("damaged", None)}
+
+
+RECORD = "record_id long, keyspace_id long, primary_column_value string, column_id int, column_value string, txn_id long, written_at timestamp"
+
+
+def test_wide(spark):
+    r = [
+        (1, 1, "7", 1, "", 5, DAY), (2, 1, " +007 ", 1, "x", 5, DAY), (3, 1, "7", 2, " 255 ", 1, DAY), (4, 1, "7", 2, "256", 9, DAY), (5, 1, "7", 2, "-1", 9, DAY),
+        (6, 1, "7x", 1, "y", 9, DAY), (7, 1, None, 1, "y", 9, DAY), (8, 1, "", 1, "y", 9, DAY), (9, 1, "7", None, "y", 9, DAY), (10, 1, "7", 77, "y", 9, DAY),
+        (11, 1, "7", 3, "2020-02-29", 1, DAY), (12, 1, "7", 3, "2021-02-29", 2, DAY), (13, 1, "7", 4, "1e3", 1, DAY), (14, 1, "7", 4, "1,5", 2, DAY), (15, 1, "7", 4, "1.", 2, DAY),
+        (16, 1, "7", 5, " TRUE", 1, DAY), (17, 1, "7", 5, "yes", 2, DAY), (18, 2, "a", 1, "9223372036854775808", 2, DAY), (19, 2, "a", 1, "-9223372036854775808", None, DAY),
+        (20, 2, " a", 1, "1", 1, DAY), (21, 2, "", 1, "1", 1, DAY), (22, None, "a", 1, "1", 1, DAY), (23, 1, "9" * 60, 1, "y", 1, DAY), (24, 1, "-0", 1, "z", 1, DAY), (24, 1, "-0", 1, "z", 1, DAY),
+    ]
+    df, s = spark.createDataFrame(r, RECORD).withColumn("_t", F.lit("x")).withColumn("_k", F.lit(1)), spark.createDataFrame(COLUMNS, SCHEMA)
+    got = {(x[0], x[1], x[2]): x[3] for x in wide.filled_cells(df, s).collect()}
+    assert got == {(1, "7", 1): 2, (1, "7", 2): 3, (1, "7", 3): 11, (1, "7", 4): 13, (1, "7", 5): 16, (2, "a", 1): 19, (2, " a", 1): 20, (2, "", 1): 21, (1, "0", 1): 24}
+    rows = {x.id: x for x in wide.wide_table(df, s, 1).collect()}
+    assert rows[7].asDict() == {"id": 7, "a": "x", "b": 255, "d": dt.date(2020, 2, 29), "f": 1000.0, "w": True} and rows[0].a == "z"
+    empty = spark.createDataFrame([], RECORD)
+    assert wide.filled_cells(empty, s).count() == 0 and wide.wide_table(empty, s, 1).columns == ["id", "a", "b", "d", "f", "w"]
+
+
+FEED = "entry_id long, keyspace_id long, memtable_id long, key_value long, txn_id long, seq long, op string, entry_value string, arrived_at timestamp"
+
+
+def brute(changes):
+    """Cells after replay of (keyspace, key, txn, seq, entry)."""
+    import json
+
+    state = defaultdict(dict)
+    for ks, key, txn, seq, entry in sorted(set(changes), key=lambda c: (c[2], c[3], c[4] is not None and len(c[4]))):
+        if not entry:
+            state[ks, key].clear()
+            continue
+        try:
+            value = json.loads(entry)
+        except ValueError:
+            continue
+        if isinstance(value, dict):
+            for c, x in value.items():
+                if x is not None:
+                    state[ks, key][int(c)] = (txn, seq)
+    return {(*k, c, *v) for k, cells in state.items() for c, v in cells.items()}
+
+
+def feed(n=6000, seed=4):
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        key = 1 if rnd.random() < 0.5 else rnd.randrange(40)
+        full = "{" + ", ".join(f'"{c}": {rnd.choice(["null", "1", chr(34) + "x}" + chr(34), "true"])}' for c in sorted(rnd.sample(range(1, 9), rnd.randrange(4)))) + "}"
+        entry = rnd.choice([full, full, full, full, full[: rnd.randrange(len(full))], None, "", "[1]", "{} {}"]) if rnd.random() < 0.5 else full
+        out.append((i, rnd.choice([1, 3]), 1, key, rnd.randrange(900), i, "U", entry, DAY))
+    out += rnd.sample(out, n // 5)
+    rnd.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_replay(spark, tasks):
+    rows = feed()
+    log = [(i, i, "commit", DAY) for i in range(0, 900, 2)] + [(0, 4, "commit", DAY), (0, 1, "rollback", DAY), (0, 3, "start", DAY), (0, None, "commit", DAY)]
+    want = brute([(r[1], r[3], r[4], r[5], r[7]) for r in rows if r[4] % 2 == 0])
+    f, t = spark.createDataFrame(rows, FEED).withColumn("_part", F.lit("x")), spark.createDataFrame(log, "log_id long, txn_id long, log_record string, logged_at timestamp")
+    got = [tuple(r) for r in replay.current_cells(f, t, tasks).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert replay.current_cells(spark.createDataFrame([], f.schema), t).count() == 0
+
+
+def test_replay_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = feed(1500, 9)
+        got = replay.replay(replay.parsed_changes(spark.createDataFrame(rows, FEED)), 3)
+        assert {tuple(r) for r in got.collect()} == brute([(r[1], r[3], r[4], r[5], r[7]) for r in rows])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_replay_of_rows_without_keys(spark):
+    rows = [(1, None, 1, 5, 1, 1, "I", '{"1":1}', DAY), (1, 1, 1, None, 1, 1, "I", '{"1":1}', DAY), (1, 1, 1, 5, None, 1, "I", '{"1":1}', DAY), (1, 1, 1, 5, 1, 1, "I", '{"x":1,"-1":2}', DAY)]
+    assert replay.replay(replay.parsed_changes(spark.createDataFrame(rows, FEED)), 2).count() == 0
+
+
+MANIFEST = "keyspace_id long, manifest_operation_id long, operation_content string, memtable_id long, sstable_id long, completed_operation_id long, written_at timestamp"
+RUN = "run_id long, keyspace_id long, first_operation_id long, last_operation_id long, run_state string, started_at timestamp, finished_at timestamp"
+
+
+def manifest_case(seed, n_ops=400, n_runs=60):
+    rnd = random.Random(seed)
+    at = lambda h: DAY + dt.timedelta(hours=h)
+    manifest, versions = [], []
+    for ks in (1, 2):
+        for op in range(1, n_ops):
+            kind = rnd.choice(["MemtableFlush", "MemtableFlush", "Compaction"])
+            manifest.append((ks, op, kind, op, ks * 1000 + op, None, at(op)))
+            for k in range(rnd.randrange(4)):
+                versions.append((ks * 1000 + op, ks, f"k{rnd.randrange(300)}", rnd.randrange(50), False))
+            if rnd.random() < 0.8:
+                done = (ks, 10_000 + op, "Completed", None, None, op, at(op + rnd.randrange(60)))
+                manifest += [done] * rnd.choice([1, 1, 2])
+    runs = []
+    for i in range(n_runs):
+        a = rnd.randrange(-3, n_ops)
+        runs.append((i, rnd.choice([1, 2]), a, a + rnd.choice([-1, 0, 3, 17, 200]), rnd.choice(["succeeded", "failed", "running"]), at(rnd.randrange(n_ops + 80)), None))
+    runs += [(99, None, 1, 5, "succeeded", at(9), None), (98, 1, None, 5, "succeeded", at(9), None), (97, 1, 1, 5, "succeeded", None, None)]
+    rnd.shuffle(manifest)
+    return versions, manifest, runs
+
+
+def brute_pending(versions, manifest, runs):
+    done = {}
+    for ks, _, kind, _, _, op, w in manifest:
+        if kind == "Completed":
+            done[ks, op] = min(done.get((ks, op), w), w)
+    state = {}
+    for ks, op, kind, _, sst, _, _ in manifest:
+        if kind == "MemtableFlush" and (ks, op) in done:
+            state[ks, sst] = any(r[4] == "succeeded" and r[1] == ks and None not in (r[2], r[3], r[5]) and r[2] <= op <= r[3] and r[5] >= done[ks, op] for r in runs)
+    by = defaultdict(list)
+    for sst, ks, key, txn, _ in versions:
+        if (ks, sst) in state:
+            by[ks, key, txn].append(state[ks, sst])
+    return {k for k, c in by.items() if not any(c)}
+
+
+def frames(spark, case):
+    return spark.createDataFrame(case[0], VERSIONS), spark.createDataFrame(case[1], MANIFEST), spark.createDataFrame(case[2], RUN)
+
+
+def test_incremental(spark, tmp_path):
+    case = manifest_case(1)
+    table = incremental.IncrementalPending(spark, f"file://{tmp_path}/p6")
+    rows = lambda: [tuple(r) for r in table.read().collect()]
+    assert rows() == []
+    assert table.run(*frames(spark, case)) > 4
+    assert len(rows()) == len(set(rows())) and set(rows()) == brute_pending(*case) != set()
+    assert table.run(*frames(spark, case)) == 0
+    # One more run covers a few flushes: few partitions change.
+    done = {m[5] for m in case[1] if m[2] == "Completed" and m[0] == 1}
+    op = next(m[1] for m in case[1] if m[0] == 1 and m[2] == "MemtableFlush" and m[1] in done and any(v[0] == m[4] and (1, v[2], v[3]) in set(rows()) for v in case[0]))
+    more = (case[0], case[1], [*case[2], (500, 1, op, op, "succeeded", DAY + dt.timedelta(days=900), None)])
+    assert 0 < table.run(*frames(spark, more)) <= 4
+    assert set(rows()) == brute_pending(*more) != brute_pending(*case)
+
+
+def test_incremental_survives_a_failure(spark, tmp_path, monkeypatch):
+    case = manifest_case(2)
+    table = incremental.IncrementalPending(spark, f"file://{tmp_path}/p6")
+    real = table._replace
+    monkeypatch.setattr(table, "_replace", lambda df, path: real(df, path) if path.endswith("data") else (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        table.run(*frames(spark, case))
+    monkeypatch.undo()
+    assert table.run(*frames(spark, case)) > 0
+    assert {tuple(r) for r in table.read().collect()} == brute_pending(*case)
+    # Everything is covered now: partitions are emptied.
+    all_ = (case[0], case[1], [(1, ks, 0, 1 << 40, "succeeded", DAY + dt.timedelta(days=900), None) for ks in (1, 2)])
+    assert table.run(*frames(spark, all_)) > 0 and table.read().count() == 0
+    # And the inputs are gone.
+    assert table.run(*frames(spark, ([], [], []))) > 0 and table.run(*frames(spark, ([], [], []))) == 0
+
+
+def test_cover_is_exact(spark):
+    rnd = random.Random(3)
+    runs = [(i, 1, a, a + rnd.randrange(5000), "succeeded", DAY, None) for i, a in enumerate(rnd.sample(range(100_000), 50))]
+    cover = incremental.run_cover(spark.createDataFrame(runs, RUN)).collect()
+    blocks = {(r.level, r.block) for r in cover}
+    inside = lambda o: any((j, o >> j) in blocks for j in range(62))
+    for o in range(0, 110_000, 7):
+        assert inside(o) == any(r[2] <= o <= r[3] for r in runs)
+    assert len(cover) < 50 * 2 * 13
+
+
+def test_set_operations(spark):
+    a, b = spark.createDataFrame([(i, "x") for i in (1, 3, 5, 6)], "id long, v string"), spark.createDataFrame([(i, "x") for i in (2, 3, 4, 7, 9)], "id long, v string")
+    assert sorted(r[0] for r in merging.merge_union(a, b, "id").collect()) == [1, 2, 3, 4, 5, 6, 7, 9]
+    c = spark.createDataFrame([(i, "x") for i in (1, 3, 5, 9, None)], "id long, v string")
+    assert sorted(r[0] for r in merging.merge_intersection(c, b, "id").collect()) == [3, 9]
+    shards = merging.posting_shards(spark.range(5000).select("id", (F.col("id") % 3 == 0).alias("v")), "id", "v", 500).collect()
+    assert sum(len(r.primary_keys) for r in shards) == 5000 and max(len(r.primary_keys) for r in shards) < 1000
+    top = merging.top_distinct(spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, None)], "k long, v long"), "v", "k", 2)
+    assert sorted(map(tuple, top.collect()), key=repr) == [(3, 4), (4, None)]
+
+
+def test_streamed_feed(spark, tmp_path):
+    from keyloom.streaming.changes import StreamedFeed
+
+    rows = [(r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[7], r[8]) for r in feed(600, 11)]
+    stream = StreamedFeed(spark, f"file://{tmp_path}/state")
+    assert stream.read().count() == 0
+    for part in (rows[:250], rows[250:]):
+        spark.createDataFrame(part, FEED).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        source = spark.readStream.schema(FEED).parquet(f"file://{tmp_path}/in")
+        stream.write(source, f"file://{tmp_path}/checkpoint").awaitTermination()
+    assert {tuple(r) for r in stream.read().collect()} == brute([(r[1], r[3], r[4], r[5], r[7]) for r in rows])
