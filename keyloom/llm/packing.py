@@ -76,14 +76,18 @@ def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
 def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Containers for items of given sizes as (sizes in a container, how many such containers).
 
-    Each time the fullest combination is taken out, as often as the items allow: the next search
+    Each container starts with the largest item left, which fits in fewer combinations the longer it
+    waits, and gets the fullest combination with it. Each time that combination is taken out, as often as the items allow: the next search
     would find it again. It uses up at least one size, or all but less than one more, so there are
     no more searches than about twice the number of different sizes, however many items there are.
     """
     left = {s: n for s, n in counts.items() if n > 0}
     out = []
     while left:
-        chosen = fullest(left, capacity)
+        first = max(left)
+        others = {s: n - (s == first) for s, n in left.items() if s <= capacity - first and n > (s == first)}
+        chosen = fullest(others, capacity - first)
+        chosen[first] = chosen.get(first, 0) + 1
         times = min(left[s] // k for s, k in chosen.items())
         out.append((chosen, times))
         for s, k in chosen.items():

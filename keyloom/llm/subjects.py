@@ -323,8 +323,10 @@ def _subjects(subject_list: DataFrame) -> list[str]:
     return [r[0] for r in subject_list.where("subject IS NOT NULL").groupBy("subject").agg(F.min("subject_id").alias("i")).orderBy("i", "subject").collect()]
 
 
-def _modelled(documents: DataFrame, labels: DataFrame, subject_list: DataFrame) -> tuple[list[str], DataFrame, LatentModel]:
+def _modelled(documents: DataFrame, labels: DataFrame, subject_list: DataFrame) -> tuple[list[str], DataFrame | None, LatentModel]:
     subjects = _subjects(subject_list)
+    if not subjects:
+        return subjects, None, LatentModel({})
     cast = checkpointed(votes(documents, labels, subjects), "votes")
     # At most 3 ** len(FUNCTIONS) patterns, counted over all documents.
     counts = cast.select(F.explode("patterns").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
