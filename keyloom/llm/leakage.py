@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.folding import WILD, letters
 from keyloom.llm.subtitles import speech
+from keyloom.sources.shared import ship_package, spread
 
 #: Letters of a k-gram and k-grams of a window: a span of K + WINDOW - 1 letters in common always has a common fingerprint.
 K, WINDOW = 12, 6
@@ -234,6 +235,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     """
     schema = "doc_id long, item_id long"
     spark = documents.sparkSession
+    ship_package(spark)
+    texts = spread(documents.select("doc_id", "text").where("text IS NOT NULL AND text != ''"))
     out = None
     for block in _blocks(items):
         shared = spark.sparkContext.broadcast(block)
@@ -245,7 +248,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["doc_id", "item_id"])
 
-        found = documents.select("doc_id", "text").where("text IS NOT NULL AND text != ''").mapInArrow(run, schema)
+        found = texts.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], schema)
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.sources.shared import ship_package, spread
+
 CAPACITY = 2048
 #: File of a public tokenizer's ranks; a name is looked up where the tokenizers are installed, a path is used as it is.
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -41,7 +43,9 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = [len(enc.encode_ordinary(x)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND text != ''").mapInArrow(run, "doc_id long, n_tokens long")
+    ship_package(documents.sparkSession)
+    rows = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND text != ''")
+    return spread(rows).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:

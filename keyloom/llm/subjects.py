@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import folding
 from keyloom.llm.subtitles import adverts, cues
-from keyloom.sources.shared import checkpointed
+from keyloom.sources.shared import checkpointed, ship_package, spread
 
 #: Share of a document's sentences that makes a subject.
 SHARE = 0.25
@@ -32,8 +32,10 @@ ROUNDS, LABEL_WEIGHT = 12, 6.0
 PLAIN, PLAIN_NONE = 0.4, 0.92
 #: Words rarer than this in the fitted documents are not used.
 LEAST_WORD = 3
-#: Log ratio that makes a word a strong sign of one subject.
+#: Log ratio to the next likely subject, or to none, that makes a word a strong sign of one subject.
 STRONG = 2.0
+#: Share of a document's sections led by a subject that speaks for it; only none at all speaks against it.
+SECTIONS_FOR = 0.5
 #: An address or source speaks for a subject if its share is this many times the usual, over at least so many labelled documents.
 LIFT, SUPPORT = 2.5, 8
 #: The labelling functions, in the order of a pattern's digits; a vote is 0 (against), 1 (none) or 2 (for).
@@ -165,7 +167,7 @@ class WordModel:
         return logs.astype(np.float32)
 
     def shares(self, docs: list[list[list[bytes]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per document: number of sentences, and for each subject the share of sentences, of strong words, and of sections led by it."""
+        """Per document: number of sentences, and for each subject the share of sentences about it, of sentences with most strong words of it, and of sections led by it."""
         n, topics = len(docs), len(self.subjects) + 1
         sent, word, doc = self._flat(docs)
         count = np.bincount(doc, minlength=n)
@@ -186,12 +188,13 @@ class WordModel:
         top = post.argmax(1)
         each = np.bincount(doc * topics + top, minlength=n * topics).reshape(n, topics)
         share = each[:, 1:] / np.maximum(1, count)[:, None]
-        rest = (rows.sum(1, keepdims=True) - rows) / (topics - 1)
-        strong = (rows - rest)[:, 1:]
-        best = strong.argmax(1)
-        is_strong = (strong.max(1) > STRONG) & (word < self.rare)
-        signs = np.bincount(doc[sent[is_strong]] * (topics - 1) + best[is_strong], minlength=n * (topics - 1)).reshape(n, topics - 1)
-        terms = signs / np.maximum(1, signs.sum(1))[:, None]
+        ordered = np.partition(rows, topics - 2, axis=1)
+        best = rows.argmax(1) - 1
+        is_strong = (ordered[:, -1] - ordered[:, -2] > STRONG) & (best >= 0) & (word < self.rare)
+        signs = np.bincount(sent[is_strong] * (topics - 1) + best[is_strong], minlength=len(doc) * (topics - 1)).reshape(len(doc), topics - 1)
+        shown = np.nonzero(signs.max(1))[0]
+        by_sign = np.bincount(doc[shown] * (topics - 1) + signs[shown].argmax(1), minlength=n * (topics - 1)).reshape(n, topics - 1)
+        terms = by_sign / np.maximum(1, count)[:, None]
         begins = np.zeros(len(doc), np.int64)
         k = 0
         for d in docs:
@@ -207,6 +210,12 @@ class WordModel:
         return count, share, terms, sections[:, 1:] / np.maximum(1, sections.sum(1))[:, None]
 
 
+def cast_by_speech(share: np.ndarray, terms: np.ndarray, section: np.ndarray) -> list[np.ndarray]:
+    """Votes of the lexicon, the terms and the sections."""
+    yes = lambda x: np.where(x >= SHARE, 2, 0)
+    return [yes(share), yes(terms), np.where(section >= SECTIONS_FOR, 2, np.where(section > 0, 1, 0))]
+
+
 def sites(text: str) -> set[str]:
     """Addresses in the adverts of a text."""
     return {m.lower() for a in adverts(text) for m in re.findall(r"([\w-]+)\.\w{2,7}\b", a)}
@@ -267,6 +276,7 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[W
 
 def votes(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
     """doc_id, n_sentences, patterns: for each subject the votes of FUNCTIONS as a number in base 3. Texts without a spoken sentence are left out."""
+    ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, subjects))
     n = len(subjects)
 
@@ -277,8 +287,7 @@ def votes(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataF
                 b = whole.slice(at, 512)
                 texts = b.column("text").to_pylist()
                 count, share, terms, section = words.shares([sentences(spoken(x)) for x in texts])
-                yes = lambda x: np.where(x >= SHARE, 2, 0)
-                ask = [yes(share), yes(terms), yes(section)]
+                ask = cast_by_speech(share, terms, section)
                 ask.append(np.stack([addresses.vote(sorted(sites(x)), n) if addresses.votes else np.ones(n, np.int64) for x in texts]))
                 ask.append(np.stack([origins.vote(_origin(*x), n) for x in zip(b.column("source").to_pylist(), b.column("series").to_pylist(), strict=True)]))
                 code = sum(v * 3**i for i, v in enumerate(ask))
@@ -286,7 +295,7 @@ def votes(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataF
                 yield out.filter(pa.array(count > 0))
 
     rows = documents.select("doc_id", "text", "source", "series").where("text IS NOT NULL AND text != ''")
-    return rows.mapInArrow(run, "doc_id long, n_sentences int, patterns array<int>")
+    return spread(rows).mapInArrow(run, "doc_id long, n_sentences int, patterns array<int>")
 
 
 class LatentModel:
