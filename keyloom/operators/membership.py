@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.sources.shared import ship_package
+
 #: Bound on the share of new keys that a chain calls seen, however long its history grows.
 ERROR_BOUND = 0.01
 #: Each layer may err half as often as the one before, so all layers together stay under the bound.
@@ -116,6 +118,7 @@ def chain_answers(versions: DataFrame, probes: DataFrame, shards: int | None = N
     answers and takes in the probes in order of arrival; only the chain is held, never the keys.
     ``maybe_seen`` false is certain; true is wrong for at most ``bound`` of the new keys.
     """
+    ship_package(probes.sparkSession)
     n = _shards(probes, shards)
     old = _history(versions, n).select("shard", F.lit(0).alias("phase"), "h1", "h2", F.lit(None).cast("long").alias("probe_id"), F.lit(None).cast("long").alias("keyspace_id"), F.lit(None).cast("string").alias("key_value"))
     new = first_probes(probes).select("*", *_hashes()).select(F.pmod("h1", F.lit(n)).cast("int").alias("shard"), F.lit(1).alias("phase"), "h1", "h2", "probe_id", "keyspace_id", "key_value")
@@ -166,6 +169,7 @@ def error_report(versions: DataFrame, probes: DataFrame, shards: int | None = No
 
 def chain_layers(versions: DataFrame, shards: int | None = None, bound: float = ERROR_BOUND) -> DataFrame:
     """The layers of each shard's chain over the earlier keys: shard, layer, n_keys, capacity, n_bits, n_hashes, fill, error, compounded."""
+    ship_package(versions.sparkSession)
     n = _shards(versions, shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

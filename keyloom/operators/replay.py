@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.sources.shared import ship_package
+
 KEY, VERSION = ["keyspace_id", "key_value"], ["txn_id", "seq"]
 #: Stands in the column id of a change that deletes its key.
 DELETE = -1
@@ -91,6 +93,7 @@ def replay(changes: DataFrame, tasks: int | None = None) -> DataFrame:
     version the setting one counts.
     """
     spark = changes.sparkSession
+    ship_package(spark)
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     loads = changes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).persist()
     try:

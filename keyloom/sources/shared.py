@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,3 +39,23 @@ def checkpointed(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_path(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that it need not be installed where they run."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="keyloom-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in enough partitions for much work per row. Only an input of fewer partitions than there are cores is shuffled; a larger one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
