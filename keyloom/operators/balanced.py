@@ -3,7 +3,8 @@
 A light aggregate estimates the load of each key. Keys above a share of a task's fair load are
 split into shards in proportion to it; all other keys fall into virtual buckets. Shards and
 buckets are bin-packed onto tasks, largest first, and rows are sent straight to their task. The
-side that has to meet the rows of a key is replicated to the tasks of that key's shards only.
+side that has to meet the rows of a key is replicated to the tasks of that key's shards only. Rows of
+sub-keys that alone would fill a good part of a task are told apart, to be combined before they move.
 
 What reaches the driver is bounded by the number of tasks, not by the data: fewer than
 ``tasks * PIECES`` keys can hold more than ``1 / (tasks * PIECES)`` of the load each, and there
@@ -28,15 +29,15 @@ BUCKETS = 8
 #: One row in so many is looked at to find hot sub-keys. It steers where rows go, never the result.
 SAMPLE = 8
 
-TASK, SPLIT = "_task", "_split"
+TASK, HOT = "_task", "_hot"
 
 
 @dataclass
 class ShardPlan:
     """Where the rows of each key go.
 
-    heavy: key -> tasks of its shards; hot: key and sub-key -> number of copies of that sub-key;
-    buckets: task of each virtual bucket of the other keys.
+    heavy: key -> tasks of its shards, of which the hash of the sub-key chooses one; hot: keys and
+    sub-keys with many rows of their own; buckets: task of each virtual bucket of the other keys.
     """
 
     tasks: int
@@ -63,15 +64,21 @@ class ShardPlan:
         ids = F.from_json(F.lit(json.dumps(self.buckets)), "array<int>")
         return F.get(ids, F.pmod(F.xxhash64(*self.keys), F.lit(len(self.buckets))).cast("int"))
 
-    def route(self, df: DataFrame, row_id: Column) -> DataFrame:
-        """``df`` in ``tasks`` partitions, with TASK, and SPLIT where rows of one sub-key went to several tasks."""
+    def assign(self, df: DataFrame) -> DataFrame:
+        """``df`` with the TASK of each row's key and sub-key, still where it was."""
         df = self._lookup(df, self.heavy, self.keys, T.StructField("_tasks", T.ArrayType(T.IntegerType())))
-        df = self._lookup(df, self.hot, [*self.keys, *self.subs], T.StructField("_copies", T.IntegerType()))
-        salt = F.when(F.col("_copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(row_id), F.col("_copies").cast("long")))
-        shard = F.pmod(F.pmod(F.xxhash64(*self.subs), F.lit(1 << 31)) + salt, F.size("_tasks").cast("long")).cast("int")
+        shard = F.pmod(F.xxhash64(*self.subs), F.size("_tasks").cast("long")).cast("int")
         task = F.when(F.col("_tasks").isNull(), self._bucket_task()).otherwise(F.get("_tasks", shard))
-        df = df.withColumn(TASK, task).withColumn(SPLIT, F.col("_copies").isNotNull()).drop("_tasks", "_copies")
-        return df.repartitionById(self.tasks, F.col(TASK))
+        return df.withColumn(TASK, task).drop("_tasks")
+
+    def route(self, df: DataFrame) -> DataFrame:
+        """``df`` in ``tasks`` partitions, each row in that of its TASK."""
+        return self.assign(df).repartitionById(self.tasks, F.col(TASK))
+
+    def mark_hot(self, df: DataFrame) -> DataFrame:
+        """``df`` with HOT: whether its sub-key is one with many rows. Aggregate these where they are; a routed sub-key goes to one task."""
+        df = self._lookup(df, self.hot, [*self.keys, *self.subs], T.StructField("_found", T.BooleanType()))
+        return df.withColumn(HOT, F.col("_found").isNotNull()).drop("_found")
 
     def replicate(self, df: DataFrame) -> DataFrame:
         """The matching side: each row goes to the tasks of its key's shards, and to no other task."""
@@ -123,6 +130,6 @@ def plan_shards(loads: DataFrame, keys: list[str], subs: list[str], load: str, t
         names = [*keys, *subs]
         seen = sub_sample.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * SAMPLE > piece)
         rows = seen.collect()
-        hot = [(*r[:-1], min(tasks, math.ceil(r[-1] * SAMPLE / piece))) for r in map(tuple, rows)]
+        hot = [(*r[:-1], True) for r in map(tuple, rows)]
         key_schema = T.StructType([*key_schema, *[seen.schema[s] for s in subs]])
     return ShardPlan(tasks, keys, subs, key_schema, at[:n_buckets], [(*k, at[i : i + n]) for k, i, n in spans], hot)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.operators.balanced import SAMPLE, SPLIT, TASK, ShardPlan, plan_shards
+from keyloom.operators.balanced import HOT, SAMPLE, TASK, ShardPlan, plan_shards
 
 VALUE = ["keyspace_id", "index_value"]
 PAIR = [*VALUE, "primary_key"]
@@ -43,23 +43,23 @@ def merge_postings(fragments: DataFrame, plan: ShardPlan | None = None, with_tim
     matter. Where a present and an absent entry share a txn_id, the pair is present. Null and empty
     lists have no entries; a null index value is a value. Rows of any keyspace are merged.
 
-    Every task gets a fair share of entries (see ``balanced``). A primary key so frequent that it
-    would overload a task is merged in several tasks first, and its few partial results once more.
+    Every task gets a fair share of entries (see ``balanced``). The entries of a primary key that is
+    frequent by itself are merged where they are read, and only one row per reading task moves.
     """
     plan = plan or shard_plan(fragments)
-    rows = plan.route(usable_entries(fragments, *["written_at"] * with_time), F.col("fragment_id"))
+    rows = usable_entries(fragments, *["written_at"] * with_time)
     newest = F.when(F.col("is_present"), F.col("txn_id"))
     aggs = [F.max(newest).alias("_here"), F.max(F.when(~F.col("is_present"), F.col("txn_id"))).alias("_gone")]
-    again = [F.max("_here").alias("_here"), F.max("_gone").alias("_gone")]
     if with_time:
         first = F.struct(F.col("txn_id"), (-F.unix_micros("written_at")).alias("early"), F.col("written_at"))
         aggs.append(F.max(F.when(F.col("is_present"), first)).alias("_first"))
-        again.append(F.max("_first").alias("_first"))
-    local = rows.groupBy(TASK, SPLIT, *PAIR).agg(*aggs)
     if plan.hot:
-        whole = local.where(~F.col(SPLIT)).drop(SPLIT)
-        parts = local.where(F.col(SPLIT)).groupBy(*PAIR).agg(F.min(TASK).alias(TASK), *again)
-        local = whole.unionByName(parts)
+        rows = plan.mark_hot(rows)
+        cold = plan.route(rows.where(~F.col(HOT))).groupBy(TASK, *PAIR).agg(*aggs)
+        # The usual aggregate: it combines in the reading tasks, so each sends a hot pair as one row.
+        local = cold.unionByName(plan.assign(rows.where(F.col(HOT))).groupBy(TASK, *PAIR).agg(*aggs))
+    else:
+        local = plan.route(rows).groupBy(TASK, *PAIR).agg(*aggs)
     present = local.where(F.col("_here").isNotNull() & (F.col("_gone").isNull() | (F.col("_here") >= F.col("_gone"))))
     return present.select(TASK, *PAIR, F.col("_here").alias("txn_id"), *([F.col("_first.written_at").alias("written_at")] if with_time else []))
 

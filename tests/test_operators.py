@@ -59,13 +59,22 @@ def test_work_is_spread(spark):
     rows = [(i, 101, "one" if i % 10 < 9 else f"v{i}", [(f"k{i % 997}", i, True)], DAY) for i in range(20_000)]
     df = spark.createDataFrame(rows, FRAGMENT)
     plan = postings.shard_plan(df, 8)
-    per = [r[1] for r in plan.route(postings.usable_entries(df), F.col("fragment_id")).groupBy(balanced.TASK).count().collect()]
+    per = [r[1] for r in plan.route(postings.usable_entries(df)).groupBy(balanced.TASK).count().collect()]
     assert len(per) == 8 and max(per) < 1.6 * 20_000 / 8
     side = spark.createDataFrame([(101, "one", "x"), (101, "v9", "y")], "keyspace_id long, index_value string, z string")
     copies = Counter(r["z"] for r in plan.replicate(side).collect())
     assert copies["x"] == 8 and copies["y"] == 1
 
 
+def test_hot_pairs_are_combined_before_they_move(spark):
+    rows = [(i, 101, "one", [("k" if i % 3 else f"k{i}", i, True)], DAY) for i in range(9000)]
+    df = spark.createDataFrame(rows, FRAGMENT).repartition(4)
+    plan = postings.shard_plan(df, 8)
+    assert [h[2] for h in plan.hot] == ["k"]
+    out = postings.merge_postings(df, plan)
+    assert out.count() == 3001 and out.where("primary_key = 'k'").first().txn_id == 8999
+
+
 def test_pack():
     at = balanced.pack([(5, 0), (4, 1), (3, 2), (3, 3), (1, 4)], 2)
     assert sum(w for w, i in [(5, 0), (4, 1), (3, 2), (3, 3), (1, 4)] if at[i] == 0) == 8
