@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keyloom.engine import Engine, Session, versions
 from keyloom.engine.transactions import Transaction
-from keyloom.operators import merging
+from keyloom.operators import merging, postings
 from keyloom.sources.shared import shared_path
 from keyloom.sources.tables import read_table
 
@@ -195,7 +195,24 @@ def posting_list(spark: SparkSession, d: str) -> DataFrame:
     return shards.groupBy("index_value").agg(F.sum(F.size("primary_keys")).cast("long").alias("n_keys"), F.min(F.get("primary_keys", F.lit(0))).alias("first_key"), F.max(F.element_at("primary_keys", -1)).alias("last_key"))
 
 
-NAMED = [merge_union, merge_intersection, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_read, rollback_hidden, compacted_read, posting_list]
+def posting_as_of(spark: SparkSession, d: str) -> DataFrame:
+    return postings.postings_as_of(read_table(spark, d, "posting_list").where("keyspace_id = 103"), 2000, [80, 400])
+
+
+def merge_hook(spark: SparkSession, d: str) -> DataFrame:
+    """Versions combined by a function of the caller: here the number of events and the longest type since a user's last error."""
+    merges = {"value": F.count, "event_type": F.max}
+    return versions.merged_by(_events_log(spark, d), "user_id", merges).select("user_id", F.col("value").alias("n_values"), F.col("event_type").alias("last_type"), F.col("_txn").alias("last_event"))
+
+
+def read_uncommitted(spark: SparkSession, d: str) -> DataFrame:
+    s = session(spark, d, "supplier")
+    s.sql("START_TRANSACTION;")
+    s.sql("UPDATE supplier SET s_nationkey = 99 WHERE s_suppkey <= 5;")
+    return s.engine.session("main", "read_uncommitted").sql("SELECT s_suppkey, s_nationkey FROM supplier;").data
+
+
+NAMED = [merge_union, merge_intersection, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_read, rollback_hidden, compacted_read, posting_list, posting_as_of, merge_hook, read_uncommitted]
 
 
 def queries() -> dict[str, Query]:
@@ -223,5 +240,13 @@ def oracle_sql() -> dict[str, str]:
         "snapshot_read": "SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 1::double ELSE s_acctbal END AS s_acctbal FROM supplier",
         "rollback_hidden": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey <> 4",
         "compacted_read": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey < 10 THEN 0 ELSE s_nationkey END AS s_nationkey, s_acctbal FROM supplier WHERE s_acctbal >= 0",
+        "posting_as_of": """SELECT keyspace_id, index_value, primary_key FROM
+            (SELECT keyspace_id, index_value, unnest(entries, recursive := true) FROM posting_list WHERE keyspace_id = 103)
+            WHERE primary_key IS NOT NULL AND is_present IS NOT NULL AND txn_id <= 2000 AND txn_id NOT IN (80, 400)
+            GROUP BY keyspace_id, index_value, primary_key HAVING arg_max(is_present, txn_id)""",
+        "merge_hook": """WITH dead AS (SELECT user_id, max(event_id) AS e FROM events WHERE event_type = 'error' GROUP BY user_id)
+            SELECT v.user_id, count(CASE WHEN event_type <> 'view' THEN value END) AS n_values, max(event_type) AS last_type, max(event_id) AS last_event
+            FROM events v LEFT JOIN dead d ON v.user_id = d.user_id WHERE event_type <> 'error' AND (d.e IS NULL OR event_id > d.e) GROUP BY v.user_id""",
+        "read_uncommitted": "SELECT s_suppkey, CASE WHEN s_suppkey <= 5 THEN 99 ELSE s_nationkey END AS s_nationkey FROM supplier",
         "posting_list": "SELECT o_orderstatus AS index_value, count(*) AS n_keys, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY o_orderstatus",
     }

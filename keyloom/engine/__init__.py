@@ -1,5 +1,5 @@
 """Databases of keyed, versioned tables, and sessions that run statements on them."""
 
-from keyloom.engine.session import Engine, Result, Session
+from keyloom.engine.session import Engine, Options, Result, Session
 
-__all__ = ["Engine", "Result", "Session"]
+__all__ = ["Engine", "Options", "Result", "Session"]

@@ -6,7 +6,9 @@ a folder of its own, named by its number, so a write is read, counted or left ou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +27,13 @@ def read_log(spark: SparkSession, table: TableInfo) -> DataFrame:
     return spark.read.schema(log_schema(table)).parquet(table.log)
 
 
+def read_base(spark: SparkSession, table: TableInfo) -> DataFrame:
+    """The base with the table's columns; one that was added later is null."""
+    base = spark.read.parquet(table.base)
+    have = set(base.columns)
+    return base.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast(SPARK_TYPES[t]).alias(c) for c, t in table.types.items()])
+
+
 def merged(log: DataFrame, primary: str, columns: list[str]) -> DataFrame:
     """The current rows of a log: per key and column the last value that was set, later than the key's last delete.
 
@@ -45,6 +54,20 @@ def merged(log: DataFrame, primary: str, columns: list[str]) -> DataFrame:
     return one.select(*[F.col("_k").alias(c) if c == primary else out[c].alias(c) for c in columns])
 
 
+def merged_by(log: DataFrame, primary: str, merges: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """As ``merged``, but each column's values after the key's last delete are combined by an aggregate of its own, such as ``F.sum``.
+
+    The last delete of a key has to be known first, so the log is aggregated twice; both aggregates
+    combine before the shuffle.
+    """
+    version = F.struct(TXN, SEQ)
+    dead = F.coalesce(F.col(DELETED), F.lit(False))
+    last = log.where(dead).groupBy(F.col(f"`{primary}`").alias("_k")).agg(F.max(version).alias("_d"))
+    live = log.where(~dead)
+    live = live.join(last, live[f"`{primary}`"].eqNullSafe(F.col("_k")), "left").where(F.col("_d").isNull() | (version > F.col("_d")))
+    return live.groupBy(F.col(f"`{primary}`").alias(primary)).agg(*[f(F.col(f"`{c}`")).alias(c) for c, f in merges.items()], F.max(TXN).alias(TXN))
+
+
 def snapshot(spark: SparkSession, table: TableInfo, txn: Transaction | None) -> DataFrame:
     """The rows of a table that a transaction sees; None sees everything, committed or not.
 
@@ -52,7 +75,7 @@ def snapshot(spark: SparkSession, table: TableInfo, txn: Transaction | None) ->
     the base keeps its other rows as they are, so a small log costs no aggregate over a large base.
     """
     columns = list(table.types)
-    base = spark.read.parquet(table.base).select(*[F.col(f"`{c}`") for c in columns]) if table.base else None
+    base = read_base(spark, table) if table.base else None
     if not table.logged:
         return base if base is not None else spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in table.schema()]))
     log = read_log(spark, table)

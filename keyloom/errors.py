@@ -1,4 +1,4 @@
-"""Errors of the dialect, each with its number."""
+"""Errors of the dialect. The numbers are fixed values."""
 
 from __future__ import annotations
 

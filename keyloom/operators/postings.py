@@ -64,6 +64,15 @@ def merge_postings(fragments: DataFrame, plan: ShardPlan | None = None, with_tim
     return present.select(TASK, *PAIR, F.col("_here").alias("txn_id"), *([F.col("_first.written_at").alias("written_at")] if with_time else []))
 
 
+def postings_as_of(fragments: DataFrame, last_txn: int, hidden: list[int] | None = None) -> DataFrame:
+    """keyspace_id, index_value, primary_key present for a reader that sees transactions up to ``last_txn`` but for the hidden ones.
+
+    Entries of other transactions are left out before the merge; entries without a transaction are the oldest and are seen.
+    """
+    seen = lambda e: F.coalesce(e["txn_id"] <= last_txn, F.lit(True)) & (~F.coalesce(e["txn_id"].isin(*hidden), F.lit(False)) if hidden else F.lit(True))
+    return merge_postings(fragments.withColumn("entries", F.filter("entries", seen))).select(*PAIR)
+
+
 def present_postings(fragments: DataFrame, first_index: int = 101) -> DataFrame:
     """Pairs now present in the index keyspaces (those from ``first_index`` on), known to the schema or not."""
     return merge_postings(fragments.where(F.col("keyspace_id") >= first_index)).select(*PAIR)

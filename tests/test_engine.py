@@ -190,3 +190,34 @@ def test_registered_table_keeps_its_base(spark, engine, tmp_path):
     assert sorted((r[0], r[1], r[2]) for r in s.sql("SELECT * FROM r;").all()) == [(1, "z", [1.0]), (2, "b", None)]
     with pytest.raises(X.InvalidType):
         s.sql("INSERT INTO r (k, e) VALUES (4, 1);")
+
+
+def test_added_columns(spark, engine, tmp_path):
+    path = f"file://{tmp_path}/base2.parquet"
+    spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string").write.parquet(path)
+    engine.register_parquet("d", "r", path, "k")
+    s = engine.session("d")
+    s.sql('UPDATE r SET v = "z" WHERE k == 1;')
+    engine.add_columns("d", "r", {"w": "I32"})
+    s.sql("UPDATE r SET w = 5 WHERE k == 2;")
+    assert rows(s, "SELECT * FROM r;") == [(1, "z", None), (2, "b", 5)]
+    with pytest.raises(X.ColumnNameAlreadyDefined):
+        engine.add_columns("d", "r", {"v": "I32"})
+
+
+def test_compaction_by_itself_and_read_uncommitted(spark, tmp_path):
+    from keyloom.engine import Options
+
+    e = Engine(spark, f"file://{tmp_path}/db", Options(compact_after=2))
+    e.session().sql("CREATE DATABASE d;")
+    s = e.session("d")
+    s.sql("CREATE TABLE t (id I64 PRIMARY KEY, a I64);")
+    for i in range(3):
+        s.sql(f"INSERT INTO t (id, a) VALUES ({i}, {i});")
+    assert e.catalog.table("d", "t").log_number == 1
+    s.sql("START_TRANSACTION;")
+    s.sql("DELETE FROM t WHERE id == 0;")
+    assert rows(e.session("d", "read_uncommitted"), "SELECT id FROM t;") == [(1,), (2,)]
+    assert rows(e.session("d"), "SELECT id FROM t;") == [(0,), (1,), (2,)]
+    s.sql("ROLLBACK;")
+    assert rows(e.session("d", "read_uncommitted"), "SELECT id FROM t;") == [(0,), (1,), (2,)]

@@ -1,5 +1,5 @@
 from keyloom.engine.transactions import Transaction
-from keyloom.engine.versions import merged
+from keyloom.engine.versions import merged, merged_by
 from pyspark.sql import functions as F
 
 LOG = "id long, _txn long, _seq long, _deleted boolean, money string, desc string"
@@ -29,3 +29,10 @@ def test_snapshot_of_a_version_log(spark):
     seen = sorted(map(tuple, df.where(Transaction(3, frozenset()).sees(F.col("t"))).collect()))
     assert seen == [("alberto", 1), ("alberto", 2), ("gonchi", 1), ("jaime", 1), ("wili", 0)]
     assert df.where(Transaction(5, frozenset({1, 4})).sees(F.col("t"))).count() == 4
+
+
+def test_merge_by_a_function(spark):
+    rows = [("alberto", 1, 0, 1), ("alberto", 2, 0, 1), ("alberto", 4, 0, 1), ("wili", 3, 1, 1), ("wili", 3, 2, 10), ("wili", 3, 3, 2), ("gone", 1, 1, 5), ("gone", 2, 1, 10)]
+    log = spark.createDataFrame(rows, "k string, _txn long, _seq long, v long").withColumn("_deleted", F.col("v") == 10)
+    got = {r.k: (r.v, r._txn) for r in merged_by(log, "k", {"v": F.sum}).collect()}
+    assert got == {"alberto": (3, 4), "wili": (2, 3)}
