@@ -75,11 +75,24 @@ def _replayer(keep_deletes: bool):
     return run
 
 
-def _ordered(changes: DataFrame, tasks: int, *more: str) -> DataFrame:
-    return changes.repartition(tasks, *KEY, *more).sortWithinPartitions(*KEY, *VERSION, "column_id")
+def _ordered(changes: DataFrame, tasks: int) -> DataFrame:
+    return changes.repartition(tasks, *KEY).sortWithinPartitions(*KEY, *VERSION, "column_id")
 
 
-def replay(changes: DataFrame, tasks: int | None = None) -> DataFrame:
+def hot_keys(rows: DataFrame, tasks: int) -> list[tuple[int, int, int]]:
+    """(keyspace_id, key_value, parts) of the keys whose rows exceed a part of a task's fair share.
+
+    Fewer than tasks * HOT_PARTS keys can exceed it, so the list may be collected and broadcast.
+    """
+    loads = rows.where("keyspace_id IS NOT NULL AND key_value IS NOT NULL").groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        share = max(1000.0, (loads.agg(F.sum("_n")).first()[0] or 0) / (tasks * HOT_PARTS))
+        return [(r[0], r[1], min(tasks, int(r[2] / share) + 1)) for r in loads.where(F.col("_n") > share).collect()]
+    finally:
+        loads.unpersist()
+
+
+def replay(changes: DataFrame, tasks: int | None = None, hot: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """The filled cells of the current rows: keyspace_id, key_value, column_id, txn_id, seq of the change that wrote each.
 
     changes: keyspace_id, key_value, txn_id, seq, column_id (DELETE deletes the key). Rows are
@@ -89,29 +102,26 @@ def replay(changes: DataFrame, tasks: int | None = None) -> DataFrame:
 
     The changes of a hot key are first cut into several parts and each part is replayed to its
     state, which is again a few changes; the parts' states then replay like the changes of any other
-    key. So no task gets all changes of a hot key. Of a deleting and a setting change with the same
+    key. So no task gets all changes of a hot key. hot: these keys, if they are known already; which
+    they are decides where work is done and not the result. Of a deleting and a setting change with the same
     version the setting one counts.
     """
     spark = changes.sparkSession
     ship_package(spark)
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    loads = changes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).persist()
-    try:
-        total = loads.agg(F.sum("_n")).first()[0] or 0
-        # Fewer than tasks * HOT_PARTS keys can exceed this share, so the list may be collected and broadcast.
-        share = max(1000.0, total / (tasks * HOT_PARTS))
-        hot = [(r[0], r[1], min(tasks, int(r[2] / share) + 1)) for r in loads.where(F.col("_n") > share).collect()]
-    finally:
-        loads.unpersist()
     columns = [*KEY, *VERSION, "column_id"]
+    changes = changes.select(*columns)
+    if hot is None:
+        hot = hot_keys(changes, tasks)
     if hot:
-        plan = spark.createDataFrame(hot, "_hk long, _hv long, _parts int")
-        marked = changes.join(F.broadcast(plan), (changes["keyspace_id"] == plan["_hk"]) & (changes["key_value"] == plan["_hv"]), "left")
-        cut = marked.where("_parts IS NOT NULL").withColumn("_part", F.pmod(F.xxhash64(*VERSION), F.col("_parts").cast("long")))
-        states = _ordered(cut.select(*columns, "_part"), tasks, "_part")
-        states = states.sortWithinPartitions("_part", *KEY, *VERSION, "column_id").mapInPandas(_part_replayer, CELLS + ", _part long").select(*columns)
-        changes = marked.where("_parts IS NULL").select(*columns).unionByName(states)
-    return _ordered(changes.select(*columns), tasks).mapInPandas(_replayer(False), CELLS)
+        plan = F.broadcast(spark.createDataFrame(hot, "_hk long, _hv long, _parts int"))
+        is_hot = (changes["keyspace_id"] == F.col("_hk")) & (changes["key_value"] == F.col("_hv"))
+        # Semi and anti joins go below the parsing of entries, so no entry is parsed for both sides.
+        cut = changes.join(plan, is_hot, "left_semi").join(plan, is_hot).withColumn("_part", F.pmod(F.xxhash64(*VERSION), F.col("_parts").cast("long")))
+        states = cut.select(*columns, "_part").repartition(tasks, *KEY, "_part").sortWithinPartitions("_part", *KEY, *VERSION, "column_id")
+        states = states.mapInPandas(_part_replayer, CELLS + ", _part long").select(*columns)
+        changes = changes.join(plan, is_hot, "left_anti").unionByName(states)
+    return _ordered(changes, tasks).mapInPandas(_replayer(False), CELLS)
 
 
 def _part_replayer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,8 +143,9 @@ def _part_replayer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def current_cells(feed: DataFrame, log: DataFrame, tasks: int | None = None) -> DataFrame:
     """Current cells after all changes of committed transactions; a transaction without a commit record counts for nothing."""
+    tasks = tasks or int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = feed.join(committed(log), "txn_id", "left_semi")
-    return replay(parsed_changes(kept), tasks)
+    return replay(parsed_changes(kept), tasks, hot_keys(feed, tasks))
 
 
 def current_rows(feed: DataFrame, log: DataFrame, tasks: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from keyloom.operators import incremental, membership, postings, references, replay, wide
 from keyloom.sources.shared import shared_path
 from keyloom.sources.tables import read_table as t
+from keyloom.streaming.changes import StreamedFeed
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +68,15 @@ def p5_rows(spark: SparkSession, d: str) -> DataFrame:
     return replay.current_rows(t(spark, d, "wal_entry"), t(spark, d, "txn_log"))
 
 
+def p5_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of p5_found with the feed taken in as a stream of files."""
+    feed = spark.readStream.schema(t(spark, d, "wal_entry").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/wal_entry.parquet*")
+    state = StreamedFeed(spark, shared_path(spark, "p5"))
+    kept = feed.join(replay.committed(t(spark, d, "txn_log")), "txn_id", "left_semi")
+    state.write(kept, shared_path(spark, "p5-checkpoint")).awaitTermination()
+    return state.read()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """A first run over state that does not exist yet: every partition is new, is computed and published."""
     table = incremental.IncrementalPending(spark, shared_path(spark, "p6"))
@@ -83,7 +93,7 @@ TABLES = {1: "personas", 2: "cuentas", 3: "pagos", 4: "articulos", 5: "accesos",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_value_sizes, p2_found, p2_report, p2_filter, p3_found, p3_error_rate, p3_chain_layers, p3_stored_filters, p4_found, p5_found, p5_rows, p6_found, p6_fingerprints]
+    named = [p1_found, p1_value_sizes, p2_found, p2_report, p2_filter, p3_found, p3_error_rate, p3_chain_layers, p3_stored_filters, p4_found, p5_found, p5_rows, p5_streamed, p6_found, p6_fingerprints]
     return {f.__name__: f for f in named} | {f"p4_{name}": _p4_wide(k) for k, name in TABLES.items()}
 
 
@@ -185,6 +195,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE probe_id > first_id OR EXISTS (SELECT 1 FROM key_version v WHERE v.keyspace_id = p.keyspace_id AND v.key_value = p.key_value)""",
         "p4_found": f"WITH {CELLS} SELECT keyspace_id, entity AS primary_column_value, column_id, record_id FROM cells",
         "p5_found": f"WITH {FEED} SELECT keyspace_id, key_value, column_id, w.t AS txn_id, w.s AS seq FROM cells",
+        "p5_streamed": f"WITH {FEED} SELECT keyspace_id, key_value, column_id, w.t AS txn_id, w.s AS seq FROM cells",
         "p5_rows": f"WITH {FEED} SELECT keyspace_id, key_value, count(*) AS n_cells, max(w.t) AS last_txn FROM cells GROUP BY keyspace_id, key_value",
         "p6_found": """WITH done AS (SELECT keyspace_id, completed_operation_id AS id, min(written_at) AS at FROM manifest_operation WHERE operation_content = 'Completed' GROUP BY ALL),
             flushes AS (SELECT DISTINCT m.keyspace_id, m.manifest_operation_id AS id, m.sstable_id, d.at FROM manifest_operation m JOIN done d ON m.keyspace_id = d.keyspace_id AND m.manifest_operation_id = d.id WHERE operation_content = 'MemtableFlush'),

@@ -34,13 +34,18 @@ class Files:
         finally:
             stream.close()
 
+    def put(self, path: str, data: bytes) -> None:
+        """A new file that nobody reads yet."""
+        fs, p = self._at(path)
+        stream = fs.create(p, True)
+        stream.write(bytearray(data))
+        stream.close()
+
     def write(self, path: str, text: str) -> None:
         """Replaces a file as a whole: a reader sees the old text or the new one."""
         fs, p = self._at(path)
         new = self._jvm.org.apache.hadoop.fs.Path(path + ".new")
-        stream = fs.create(new, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
+        self.put(path + ".new", text.encode())
         if fs.exists(p):
             fs.delete(p, False)
         if not fs.rename(new, p):

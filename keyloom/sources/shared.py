@@ -6,6 +6,7 @@ local temporary folder takes its place, once per session.
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +14,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keyloom.sources.files import Files
+
 _fallback: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -42,16 +45,18 @@ def checkpointed(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per application, so that it need not be installed where they run."""
+    """Sends this package to the Python workers through the shared folder, once per application, so that it need not be installed where they run."""
     context = spark.sparkContext
     root = Path(__file__).resolve().parent.parent
     if context.applicationId in _shipped or not root.is_dir():
         return
-    archive = Path(tempfile.mkdtemp(prefix="keyloom-")) / f"{root.name}.zip"
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))
-    context.addPyFile(str(archive))
+    place = f"{shared_path(spark, 'code')}/{root.name}.zip"
+    Files(spark).put(place, archive.getvalue())
+    context.addPyFile(place)
     _shipped.add(context.applicationId)
 
 
