@@ -61,9 +61,3 @@ def covering(spark: SparkSession, table: TableInfo, path: P.Path, columns: list[
         rows = read(spark, table, path.column).where(_inside(path, F.col(VALUE)))
         return rows.select(*[F.col(VALUE).alias(c) if c == path.column else F.col(f"`{c}`") for c in columns])
     return None
-
-
-def posting_lists(rows: DataFrame, primary: str, column: str) -> DataFrame:
-    """Each value with its keys as one sorted array, for small tables and reports. Large values are better read as rows."""
-    have = rows.where(F.col(f"`{column}`").isNotNull())
-    return have.groupBy(F.col(f"`{column}`").alias("index_value")).agg(F.sort_array(F.collect_list(F.col(f"`{primary}`"))).alias("primary_keys"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -37,9 +36,3 @@ def posting_shards(rows: DataFrame, key: str, column: str, keys_per_shard: int =
     sizes = have.groupBy("index_value").agg(F.ceil(F.count(F.lit(1)) / keys_per_shard).alias("_shards"))
     spread = have.join(sizes, "index_value").withColumn("shard", F.pmod(F.xxhash64("primary_key"), F.col("_shards")).cast("int"))
     return spread.groupBy("index_value", "shard").agg(F.sort_array(F.collect_list("primary_key")).alias("primary_keys"))
-
-
-def first_per_group(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
-    """The first n rows of each group in an order that is total; Spark keeps n rows per group and task before the shuffle."""
-    rank = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")

@@ -113,13 +113,10 @@ orphans AS (
     CASE WHEN s.key_value IS NULL THEN 'missing' WHEN s.dead THEN 'deleted' WHEN s.first > p.txn_id THEN 'late' END AS orphan_kind
   FROM present p JOIN known k ON p.keyspace_id = k.index_id LEFT JOIN state s ON s.keyspace_id = k.table_id AND s.key_value = p.primary_key)"""
 
-INTEGER = r"^[ \t\r\n]*[+-]?[0-9]+[ \t\r\n]*$"
-
-
 def _is_value(v: str, kind: str) -> str:
     bare = f"trim({v}, E' \\t\\r\\n')"
     ranges = {"I8": ("-128", "127"), "I16": ("-32768", "32767"), "I32": ("-2147483648", "2147483647"), "I64": ("-9223372036854775808", "9223372036854775807"), "U8": ("0", "255"), "U16": ("0", "65535"), "U32": ("0", "4294967295"), "U64": ("0", "18446744073709551615")}
-    whens = [f"WHEN 'VARCHAR' THEN true"]
+    whens = ["WHEN 'VARCHAR' THEN true"]
     for k, (lo, hi) in ranges.items():
         whens.append(f"WHEN '{k}' THEN regexp_full_match({bare}, '[+-]?[0-9]+') AND try_cast({bare} AS hugeint) BETWEEN {lo}::hugeint AND {hi}::hugeint")
     for k in ("F32", "F64"):
