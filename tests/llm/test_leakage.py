@@ -48,6 +48,11 @@ def test_damage(damage):
     assert found(as_file("Good night. " + damage(PASSAGE))) == [1]
 
 
+def test_another_number_is_another_passage():
+    assert found(as_file(" ".join(W[4:10] + W[10:16]).replace("1201", "1301"))) == []
+    assert found(as_file(" ".join(W[4:16]).replace("1201", "l2O1"))) == [1]
+
+
 def test_interruptions_by_adverts_and_names():
     a, b = as_file(" ".join(W[:8])), as_file("VESKO: " + " ".join(W[8:20]))
     ad = "\n\n7\n00:01:00,000 --> 00:01:02,000\nWatch the match live on vip.example\n\n"
