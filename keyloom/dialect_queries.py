@@ -199,6 +199,19 @@ def posting_as_of(spark: SparkSession, d: str) -> DataFrame:
     return postings.postings_as_of(read_table(spark, d, "posting_list").where("keyspace_id = 103"), 2000, [80, 400])
 
 
+def _reader(txns: DataFrame) -> tuple[int, list[int]]:
+    """A reader at three quarters of the history, and the transactions open when it starts: every second of the last twenty before it."""
+    last = (txns.agg(F.max("txn_id")).first()[0] or 0) * 3 // 4
+    before = [r[0] for r in txns.where(F.col("txn_id") < last).distinct().orderBy(F.desc("txn_id")).limit(20).collect()]
+    return last, before[::2]
+
+
+def posting_as_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """All indexes as of a transaction that the data gives, so the share that is read is the same at every size."""
+    lists = read_table(spark, d, "posting_list")
+    return postings.postings_as_of(lists, *_reader(postings.usable_entries(lists).where(F.col("txn_id") > postings.OLDEST).select("txn_id")))
+
+
 def merge_hook(spark: SparkSession, d: str) -> DataFrame:
     """Versions combined by a function of the caller: here the number of events and the longest type since a user's last error."""
     merges = {"value": F.count, "event_type": F.max}
@@ -212,7 +225,7 @@ def read_uncommitted(spark: SparkSession, d: str) -> DataFrame:
     return s.engine.session("main", "read_uncommitted").sql("SELECT s_suppkey, s_nationkey FROM supplier;").data
 
 
-NAMED = [merge_union, merge_intersection, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_read, rollback_hidden, compacted_read, posting_list, posting_as_of, merge_hook, read_uncommitted]
+NAMED = [merge_union, merge_intersection, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_read, rollback_hidden, compacted_read, posting_list, posting_as_of, posting_as_of_all, merge_hook, read_uncommitted]
 
 
 def queries() -> dict[str, Query]:
@@ -244,6 +257,13 @@ def oracle_sql() -> dict[str, str]:
             (SELECT keyspace_id, index_value, unnest(entries, recursive := true) FROM posting_list WHERE keyspace_id = 103)
             WHERE primary_key IS NOT NULL AND is_present IS NOT NULL AND txn_id <= 2000 AND txn_id NOT IN (80, 400)
             GROUP BY keyspace_id, index_value, primary_key HAVING arg_max(is_present, txn_id)""",
+        "posting_as_of_all": """WITH e AS (SELECT keyspace_id, index_value, unnest(entries, recursive := true) FROM posting_list),
+            used AS (SELECT * FROM e WHERE primary_key IS NOT NULL AND is_present IS NOT NULL),
+            reader AS (SELECT max(txn_id) * 3 // 4 AS last FROM used),
+            before AS (SELECT txn_id, row_number() OVER (ORDER BY txn_id DESC) AS n FROM (SELECT DISTINCT txn_id FROM used, reader WHERE txn_id < last)),
+            seen AS (SELECT * FROM used, reader WHERE txn_id IS NULL OR (txn_id <= last AND txn_id NOT IN (SELECT txn_id FROM before WHERE n < 20 AND n % 2 = 1)))
+            SELECT keyspace_id, index_value, primary_key FROM seen GROUP BY keyspace_id, index_value, primary_key
+            HAVING max(coalesce(txn_id, -1)) FILTER (WHERE is_present) >= coalesce(max(coalesce(txn_id, -1)) FILTER (WHERE NOT is_present), -1)""",
         "merge_hook": """WITH dead AS (SELECT user_id, max(event_id) AS e FROM events WHERE event_type = 'error' GROUP BY user_id)
             SELECT v.user_id, count(CASE WHEN event_type <> 'view' THEN value END) AS n_values, max(event_type) AS last_type, max(event_id) AS last_event
             FROM events v LEFT JOIN dead d ON v.user_id = d.user_id WHERE event_type <> 'error' AND (d.e IS NULL OR event_id > d.e) GROUP BY v.user_id""",
