@@ -82,6 +82,8 @@ READS: dict[str, tuple[str, str, list[str], str]] = {
     "sort_desc": ("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC;", [], "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey"),
     "sort_nulls": ("documents", "SELECT doc_id, series FROM documents ORDER BY series LIMIT 60;", [], "SELECT doc_id, series FROM documents ORDER BY series ASC NULLS FIRST, doc_id LIMIT 60"),
     "sort_nulls_desc": ("documents", "SELECT doc_id, fps FROM documents ORDER BY fps DESC LIMIT 60;", [], "SELECT doc_id, fps FROM documents ORDER BY fps DESC NULLS LAST, doc_id LIMIT 60"),
+    "sort_nulls_all": ("documents", "SELECT doc_id, series FROM documents ORDER BY series;", [], "SELECT doc_id, series FROM documents ORDER BY series ASC NULLS FIRST, doc_id"),
+    "sort_nulls_desc_all": ("documents", "SELECT doc_id, fps FROM documents ORDER BY fps DESC;", [], "SELECT doc_id, fps FROM documents ORDER BY fps DESC NULLS LAST, doc_id"),
     "reverse_pk": ("orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC;", [], "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC"),
     "topn": ("orders", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority LIMIT 20;", [], "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 20"),
     "topn_desc": ("orders", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC LIMIT 20;", [], "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20"),

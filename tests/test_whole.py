@@ -19,3 +19,15 @@ def test_postings_as_of_read_every_index_at_every_size(spark, small):
         assert {r[0] for r in found.select("keyspace_id").distinct().collect()} == wanted
         shares.append(found.count() / con.execute(f"SELECT count(DISTINCT (keyspace_id, index_value, primary_key)) FROM (SELECT keyspace_id, index_value, unnest(entries, recursive := true) FROM posting_list) WHERE primary_key IS NOT NULL AND is_present").fetchone()[0])
     assert shares[0] == pytest.approx(shares[1], rel=0.2)
+
+
+@pytest.mark.parametrize(("name", "column", "nulls_first"), [("sort_nulls_all", "series", True), ("sort_nulls_desc_all", "fps", False)])
+def test_sorts_give_all_documents_and_their_nulls(spark, small, name, column, nulls_first):
+    con = oracle(small)
+    rows = [tuple(r) for r in QUERIES[name](spark, small).collect()]
+    # In order, which the comparison of sets of rows does not look at.
+    assert rows == [tuple(r) for r in con.execute(SQL[name]).fetchall()]
+    assert len(rows) == con.execute("SELECT count(*) FROM documents").fetchone()[0]
+    n = con.execute(f"SELECT count(*) FROM documents WHERE {column} IS NULL").fetchone()[0]
+    assert 0 < n < len(rows)
+    assert all(v is None for _, v in (rows[:n] if nulls_first else rows[-n:]))
