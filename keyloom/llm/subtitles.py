@@ -15,6 +15,14 @@ _ADVERT = re.compile(
     r"|\bsubt.{1,2}tulos (?:de|por)\b|\bsincronizado por\b|\btraducido por\b|\bhazte socio\b"
     r"|\buntertitel (?:von|durch)\b|\bangepasst von\b|\b.{1,2}bersetzt von\b|\bwerde mitglied\b"
 )
+#: An advert's match and the rest of its address.
+_ADVERT_WORDS = re.compile(rf"(?i)(?:{_ADVERT.pattern.removeprefix('(?i)')})\S*")
+#: Units of a text without cues: lines, and sentences of a line. The gaps between them are kept.
+_UNIT = re.compile(r"(\n+|(?<=[.!?…])[ \t]+)")
+#: Letters of a unit that is taken out whole.
+LONGEST_ADVERT = 200
+#: What a WebVTT file has before its cues: its first block, and blocks of notes, styles and regions.
+_HEADER = re.compile(r"\A[ \t\n﻿]*WEBVTT[^\n]*(?:\n[^\n]+)*|(?:\A|(?<=\n))(?:NOTE|STYLE|REGION)\b[^\n]*(?:\n[^\n]+)*")
 _HINTS = ".example www. http: https: .com .net .org .tv .info .io subt synced corrected translated vip sincron traducido socio untertitel angepasst bersetzt mitglied".split()
 _BROKEN = re.compile("[ÂÃâÐÑ][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™�]")
 _RUN = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™�]{2,}")
@@ -54,33 +62,46 @@ def repaired(text: str) -> str:
     return text
 
 
-def cues(text: str) -> tuple[list[str], list[str]]:
-    """Start times and texts of the cues, cleaned; adverts are empty texts. A text without time lines is one cue."""
+def _split(text: str) -> tuple[str, list[str], list[str]]:
+    """The text outside of cues (all of it where no time line is, else what stands before the first), and start times and texts of the cues."""
     text = repaired(text)
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    parts = _TIMING.split(text.replace("\0", " "))
-    if len(parts) == 1:
-        starts, joined = [""], text.replace("\0", " ")
-    else:
-        starts, joined = parts[1::2], "\0".join(parts[2::2])
-    low = joined.lower()
+    plain, *parts = _TIMING.split(text.replace("\0", " "))
+    if parts:
+        plain = _HEADER.sub("", plain)
+        if not any(c.isalpha() for c in plain):
+            plain = ""
+    return plain, parts[::2], parts[1::2]
+
+
+def _said(plain: str) -> str:
+    """A text without cues less its adverts: sentences or lines; of one that is longer than a cue only the words that make it an advert."""
+    return "".join(x if not _ADVERT.search(x) else _ADVERT_WORDS.sub("", x) if len(x) > LONGEST_ADVERT else "" for x in _UNIT.split(plain))
+
+
+def cues(text: str) -> tuple[list[str], list[str]]:
+    """Start times and texts of the cues, cleaned; adverts are empty texts. Text before the first time line, or without any, is one cue that has no start."""
+    plain, starts, bodies = _split(text)
+    low = "\0".join([plain, *bodies]).lower()
     if any(h in low for h in _HINTS):
-        joined = "\0".join("" if _ADVERT.search(b) else b for b in joined.split("\0"))
-    joined = _NOISE.sub(" ", joined)
+        plain, bodies = _said(plain), ["" if _ADVERT.search(b) else b for b in bodies]
+    if plain or not starts:
+        starts, bodies = ["", *starts], [plain, *bodies]
+    joined = _NOISE.sub(" ", "\0".join(bodies))
     if ":" in joined:
         joined = _SPEAKER.sub(r"\1\2", joined)
     return starts, joined.split("\0")
 
 
 def adverts(text: str) -> list[str]:
-    """The cues that ``cues`` empties as adverts, repaired and on one line."""
-    text = repaired(text).replace("\r\n", "\n").replace("\r", "\n")
-    low = text.lower()
+    """What ``cues`` takes for adverts, repaired and each on one line."""
+    plain, _, bodies = _split(text)
+    low = "\0".join([plain, *bodies]).lower()
     if not any(h in low for h in _HINTS):
         return []
-    parts = _TIMING.split(text)
-    return [" ".join(b.split()) for b in parts[2::2] if _ADVERT.search(b)]
+    found = [x if len(x) <= LONGEST_ADVERT else " ".join(m.group(0) for m in _ADVERT_WORDS.finditer(x)) for x in _UNIT.split(plain) if _ADVERT.search(x)]
+    return [" ".join(b.split()) for b in [*found, *(b for b in bodies if _ADVERT.search(b))]]
 
 
 def speech(text: str) -> str:
