@@ -197,6 +197,16 @@ def posting_list(spark: SparkSession, d: str) -> DataFrame:
     return shards.groupBy("index_value").agg(F.sum(F.size("primary_keys")).cast("long").alias("n_keys"), F.min(F.get("primary_keys", F.lit(0))).alias("first_key"), F.max(F.element_at("primary_keys", -1)).alias("last_key"))
 
 
+def posting_list_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Each value's whole posting list, from its shards: one row per key with its place in its value's sorted list.
+
+    Shards split a value's keys by hash, so no single array or window holds a frequent value's list: keys are sorted in ranges,
+    and a key's place is its place in its range after the value's keys of earlier ranges.
+    """
+    shards = merging.posting_shards(read_table(spark, d, "orders"), "o_orderkey", "o_orderstatus")
+    return merging.listed(shards)
+
+
 def posting_as_of(spark: SparkSession, d: str) -> DataFrame:
     return postings.postings_as_of(read_table(spark, d, "posting_list").where("keyspace_id = 103"), 2000, [80, 400])
 
@@ -227,7 +237,7 @@ def read_uncommitted(spark: SparkSession, d: str) -> DataFrame:
     return s.engine.session("main", "read_uncommitted").sql("SELECT s_suppkey, s_nationkey FROM supplier;").data
 
 
-NAMED = [merge_union, merge_intersection, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_read, rollback_hidden, compacted_read, posting_list, posting_as_of, posting_as_of_all, merge_hook, read_uncommitted]
+NAMED = [merge_union, merge_intersection, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_read, rollback_hidden, compacted_read, posting_list, posting_list_merge, posting_as_of, posting_as_of_all, merge_hook, read_uncommitted]
 
 
 def queries() -> dict[str, Query]:
@@ -270,5 +280,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT v.user_id, count(CASE WHEN event_type <> 'view' THEN value END) AS n_values, max(event_type) AS last_type, max(event_id) AS last_event
             FROM events v LEFT JOIN dead d ON v.user_id = d.user_id WHERE event_type <> 'error' AND (d.e IS NULL OR event_id > d.e) GROUP BY v.user_id""",
         "read_uncommitted": "SELECT s_suppkey, CASE WHEN s_suppkey <= 5 THEN 99 ELSE s_nationkey END AS s_nationkey FROM supplier",
+        "posting_list_merge": "SELECT o_orderstatus AS index_value, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS place, o_orderkey AS primary_key FROM orders WHERE o_orderstatus IS NOT NULL",
         "posting_list": "SELECT o_orderstatus AS index_value, count(*) AS n_keys, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY o_orderstatus",
     }

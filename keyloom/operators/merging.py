@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.sources.shared import checkpointed
+
 
 def merge_union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows of either side, one per key. Both sides are scans of one table, so rows of a key are equal. Null keys are one key."""
@@ -36,3 +38,19 @@ def posting_shards(rows: DataFrame, key: str, column: str, keys_per_shard: int =
     sizes = have.groupBy("index_value").agg(F.ceil(F.count(F.lit(1)) / keys_per_shard).alias("_shards"))
     spread = have.join(sizes, "index_value").withColumn("shard", F.pmod(F.xxhash64("primary_key"), F.col("_shards")).cast("int"))
     return spread.groupBy("index_value", "shard").agg(F.sort_array(F.collect_list("primary_key")).alias("primary_keys"))
+
+
+def listed(shards: DataFrame) -> DataFrame:
+    """index_value, place, primary_key: the keys of each value in order, places from 1.
+
+    Rows are sorted into ranges of (value, key). The counts by value and range tell how many keys of the value
+    lie in earlier ranges; a window over the range alone tells the rest, so a frequent value is spread over ranges.
+    """
+    rows = shards.select("index_value", F.explode("primary_keys").alias("primary_key"))
+    ranged = checkpointed(rows.repartitionByRange("index_value", "primary_key").withColumn("_range", F.spark_partition_id()), "listed")
+    before = Window.partitionBy("index_value").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("index_value", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("index_value", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("index_value", "_range").orderBy("primary_key"))
+    placed = ranged.withColumn("_within", within).join(offsets, ["index_value", "_range"])
+    return placed.select("index_value", (F.col("_before") + F.col("_within")).alias("place"), "primary_key")

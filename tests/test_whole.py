@@ -31,3 +31,12 @@ def test_sorts_give_all_documents_and_their_nulls(spark, small, name, column, nu
     n = con.execute(f"SELECT count(*) FROM documents WHERE {column} IS NULL").fetchone()[0]
     assert 0 < n < len(rows)
     assert all(v is None for _, v in (rows[:n] if nulls_first else rows[-n:]))
+
+
+def test_whole_posting_lists_are_in_order(spark, small):
+    rows = sorted(tuple(r) for r in QUERIES["posting_list_merge"](spark, small).collect())
+    lists: dict[str, list] = {}
+    for status, place, key in rows:
+        lists.setdefault(status, []).append(key)
+        assert place == len(lists[status])
+    assert lists == {s: sorted(k) for s, k in oracle(small).execute("SELECT o_orderstatus, list(o_orderkey) FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY ALL").fetchall()}
