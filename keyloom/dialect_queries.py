@@ -166,6 +166,13 @@ def snapshot_visibility(spark: SparkSession, d: str) -> DataFrame:
     return versions.merged(log.where(txn.sees(F.col("_txn"))), "user_id", ["user_id", "event_type", "value"])
 
 
+def snapshot_visibility_share(spark: SparkSession, d: str) -> DataFrame:
+    """The events as of a reader that the data gives, so the share that is seen is the same at every size."""
+    log = _events_log(spark, d)
+    last, hidden = _reader(log.select(F.col("_txn").alias("txn_id")))
+    return versions.merged(log.where(Transaction(last, frozenset(hidden)).sees(F.col("_txn"))), "user_id", ["user_id", "event_type", "value"])
+
+
 def snapshot_read(spark: SparkSession, d: str) -> DataFrame:
     """A transaction goes on seeing what was there when it started, and its own writes."""
     s = session(spark, d, "supplier")
@@ -237,7 +244,7 @@ def read_uncommitted(spark: SparkSession, d: str) -> DataFrame:
     return s.engine.session("main", "read_uncommitted").sql("SELECT s_suppkey, s_nationkey FROM supplier;").data
 
 
-NAMED = [merge_union, merge_intersection, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_read, rollback_hidden, compacted_read, posting_list, posting_list_merge, posting_as_of, posting_as_of_all, merge_hook, read_uncommitted]
+NAMED = [merge_union, merge_intersection, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_visibility_share, snapshot_read, rollback_hidden, compacted_read, posting_list, posting_list_merge, posting_as_of, posting_as_of_all, merge_hook, read_uncommitted]
 
 
 def queries() -> dict[str, Query]:
@@ -262,6 +269,8 @@ def oracle_sql() -> dict[str, str]:
         "topn_distinct_key": "SELECT o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) = 1 ORDER BY o_orderdate LIMIT 20",
         "row_reassembly": _merged_sql("true"),
         "snapshot_visibility": _merged_sql("event_id <= 5000 AND event_id NOT IN (17, 400, 1234)"),
+        "snapshot_visibility_share": _merged_sql("""event_id <= (SELECT max(event_id) * 3 // 4 FROM events) AND event_id NOT IN (SELECT event_id FROM
+            (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS n FROM (SELECT DISTINCT event_id FROM events WHERE event_id < (SELECT max(event_id) * 3 // 4 FROM events))) WHERE n < 20 AND n % 2 = 1)"""),
         "snapshot_read": "SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 1::double ELSE s_acctbal END AS s_acctbal FROM supplier",
         "rollback_hidden": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey <> 4",
         "compacted_read": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey < 10 THEN 0 ELSE s_nationkey END AS s_nationkey, s_acctbal FROM supplier WHERE s_acctbal >= 0",

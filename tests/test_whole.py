@@ -40,3 +40,13 @@ def test_whole_posting_lists_are_in_order(spark, small):
         lists.setdefault(status, []).append(key)
         assert place == len(lists[status])
     assert lists == {s: sorted(k) for s, k in oracle(small).execute("SELECT o_orderstatus, list(o_orderkey) FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY ALL").fetchall()}
+
+
+def test_the_snapshot_of_events_sees_the_same_share_at_every_size(spark, small):
+    for d in (small, LARGER):
+        con = oracle(d)
+        last = con.execute("SELECT max(event_id) * 3 // 4 FROM events").fetchone()[0]
+        n, seen = con.execute(f"SELECT count(*), count(*) FILTER (event_id <= {last}) FROM events").fetchone()
+        assert seen / n == pytest.approx(0.75, rel=0.01)
+        rows = {tuple(r) for r in QUERIES["snapshot_visibility_share"](spark, d).select("user_id", "event_type", "value").collect()}
+        assert rows == {tuple(r) for r in con.execute(f"SELECT user_id, event_type, value FROM ({SQL['snapshot_visibility_share']})").fetchall()}
