@@ -144,6 +144,20 @@ def merge_intersection(spark: SparkSession, d: str) -> DataFrame:
     return merging.merge_intersection(a, b, "c_custkey")
 
 
+def _segment_and_nation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two selections that both grow with the table."""
+    s = session(spark, d, "customer")
+    return s.sql('SELECT * FROM customer WHERE c_mktsegment == "FURNITURE";').data, s.sql("SELECT * FROM customer WHERE c_nationkey == 3;").data
+
+
+def merge_union_segment(spark: SparkSession, d: str) -> DataFrame:
+    return merging.merge_union(*_segment_and_nation(spark, d), "c_custkey")
+
+
+def merge_intersection_segment(spark: SparkSession, d: str) -> DataFrame:
+    return merging.merge_intersection(*_segment_and_nation(spark, d), "c_custkey")
+
+
 def topn_distinct_key(spark: SparkSession, d: str) -> DataFrame:
     orders = read_table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     return merging.top_distinct(orders, "o_orderdate", "o_orderkey", 20)
@@ -244,7 +258,7 @@ def read_uncommitted(spark: SparkSession, d: str) -> DataFrame:
     return s.engine.session("main", "read_uncommitted").sql("SELECT s_suppkey, s_nationkey FROM supplier;").data
 
 
-NAMED = [merge_union, merge_intersection, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_visibility_share, snapshot_read, rollback_hidden, compacted_read, posting_list, posting_list_merge, posting_as_of, posting_as_of_all, merge_hook, read_uncommitted]
+NAMED = [merge_union, merge_intersection, merge_union_segment, merge_intersection_segment, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_visibility_share, snapshot_read, rollback_hidden, compacted_read, posting_list, posting_list_merge, posting_as_of, posting_as_of_all, merge_hook, read_uncommitted]
 
 
 def queries() -> dict[str, Query]:
@@ -266,6 +280,8 @@ def oracle_sql() -> dict[str, str]:
     return {n: x[3] for n, x in READS.items()} | lines | {
         "merge_union": "SELECT * FROM customer WHERE c_custkey < 100 OR c_nationkey = 3",
         "merge_intersection": "SELECT * FROM customer WHERE c_custkey < 1000 AND c_nationkey = 3",
+        "merge_union_segment": "SELECT * FROM customer WHERE c_mktsegment = 'FURNITURE' OR c_nationkey = 3",
+        "merge_intersection_segment": "SELECT * FROM customer WHERE c_mktsegment = 'FURNITURE' AND c_nationkey = 3",
         "topn_distinct_key": "SELECT o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) = 1 ORDER BY o_orderdate LIMIT 20",
         "row_reassembly": _merged_sql("true"),
         "snapshot_visibility": _merged_sql("event_id <= 5000 AND event_id NOT IN (17, 400, 1234)"),

@@ -50,3 +50,9 @@ def test_the_snapshot_of_events_sees_the_same_share_at_every_size(spark, small):
         assert seen / n == pytest.approx(0.75, rel=0.01)
         rows = {tuple(r) for r in QUERIES["snapshot_visibility_share"](spark, d).select("user_id", "event_type", "value").collect()}
         assert rows == {tuple(r) for r in con.execute(f"SELECT user_id, event_type, value FROM ({SQL['snapshot_visibility_share']})").fetchall()}
+
+
+@pytest.mark.parametrize("name", ["merge_union_segment", "merge_intersection_segment"])
+def test_set_operations_grow_with_the_table(spark, name):
+    small, large = (QUERIES[name](spark, d).count() for d in (LARGER, "/root/testdata/sf0.1"))
+    assert large > 5 * small > 0
