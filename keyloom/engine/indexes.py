@@ -46,13 +46,40 @@ def _inside(path: P.Point | P.Range, value: Column) -> Column:
     return out
 
 
-def candidates(spark: SparkSession, table: TableInfo, path: P.Path) -> DataFrame | None:
-    """Keys that the path's secondary part proposes, maybe repeated; None if the path does not lead through an index."""
-    if isinstance(path, (P.Point, P.Range)) and path.column in table.indexes and table.indexes[path.column] == "active":
-        return read(spark, table, path.column).where(_inside(path, F.col(VALUE))).select(F.col(f"`{table.primary}`"))
+def candidates(spark: SparkSession, table: TableInfo, path: P.Path, rows: DataFrame) -> DataFrame | None:
+    """Keys that the path proposes, maybe repeated; None if it does not lead through an index.
+
+    A union needs the keys of both sides, those of a primary side from the current ``rows``. Of an intersection either side
+    alone covers the rows, so a side without an index is left to the predicate.
+    """
+    key = F.col(f"`{table.primary}`")
+    if isinstance(path, P.Merge):
+        sides = [(p, candidates(spark, table, p, rows)) for p in (path.left, path.right)]
+        led = [keys for _, keys in sides if keys is not None]
+        if path.kind == "Intersection":
+            return led[0].join(led[1], table.primary, "left_semi") if len(led) == 2 else led[0] if led else None
+        if not led:
+            return None
+        both = [keys if keys is not None else _primary_keys(table, p, rows) for p, keys in sides]
+        return None if any(x is None for x in both) else both[0].unionByName(both[1])
+    if isinstance(path, (P.Point, P.Range)) and table.indexes.get(path.column) == "active":
+        return read(spark, table, path.column).where(_inside(path, F.col(VALUE))).select(key)
     return None
 
 
+def _primary_keys(table: TableInfo, path: P.Path, rows: DataFrame) -> DataFrame | None:
+    """The keys that a path over the primary column alone proposes; None for any other path."""
+    inside = _primary_inside(table, path)
+    return None if inside is None else rows.where(inside).select(F.col(f"`{table.primary}`"))
+
+
+def _primary_inside(table: TableInfo, path: P.Path) -> Column | None:
+    if isinstance(path, P.Merge):
+        a, b = _primary_inside(table, path.left), _primary_inside(table, path.right)
+        return None if a is None or b is None else (a | b if path.kind == "Union" else a & b)
+    return _inside(path, F.col(f"`{table.primary}`")) if isinstance(path, (P.Point, P.Range)) and path.column == table.primary else None
+
+
 def covering(spark: SparkSession, table: TableInfo, path: P.Path, columns: list[str]) -> DataFrame | None:
     """The rows from the index alone: where only the key and the indexed column are read, and no write can have made postings stale."""
     if table.logged or not set(columns) <= {table.primary, getattr(path, "column", None)}:

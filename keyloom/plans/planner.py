@@ -23,7 +23,7 @@ def matching(spark: SparkSession, table: TableInfo, txn: Transaction | None, whe
     rows = indexes.covering(spark, table, path, read)
     if rows is None:
         rows = versions.snapshot(spark, table, txn)
-        keys = indexes.candidates(spark, table, path)
+        keys = indexes.candidates(spark, table, path, rows)
         if keys is not None:
             rows = rows.join(keys, table.primary, "left_semi")
     return rows if where is None else rows.where(column(where, table.types))
