@@ -1,15 +1,34 @@
-"""Processing only what is new: which key versions no successful run has had, kept up to date by changed partitions alone."""
+"""Processing only what is new: which key versions no successful run has had, kept up to date by changed partitions alone.
+
+An SSTable never changes once it is written. So a partition is a unit of history, a keyspace and an
+aligned range of operation ids, and what happened to a unit shows in its flushes, without a look at
+their versions. A run reads the versions of flushes that are new or newly covered, and of the units
+whose transactions overlap theirs, since only these can hold the same versions; no other is read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import math
+from bisect import bisect_right
+from collections.abc import Iterable
+from dataclasses import dataclass
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Key buckets of a keyspace; with the keyspace they are the partitions that are compared and replaced.
-BUCKETS = 8
+from keyloom.sources.files import Files
+
+#: Versions that a unit holds, about; and units that a keyspace has at least, as far as it has operations.
+UNIT_ROWS, LEAST_UNITS = 4_000_000, 24
+#: SSTables up to which their ids go to the scan as a list.
+PUSHED = 1000
 #: Blocks of the run cover from this level up span 2**LEVEL operations or more each.
 HIGH_LEVEL = 12
 VERSION = ["keyspace_id", "key_value", "txn_id"]
+Unit = tuple[int, int]
+Span = tuple[int, int]
 
 
 def completed_flushes(manifest: DataFrame) -> DataFrame:
@@ -57,78 +76,165 @@ def flush_state(manifest: DataFrame, runs: DataFrame) -> DataFrame:
     return flushes.join(covered, ["keyspace_id", "operation_id"], "left").select("keyspace_id", "operation_id", "sstable_id", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
-def version_states(versions: DataFrame, manifest: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each key version of a completed flush's SSTable with that flush's state, and its partition (keyspace_id, bucket). A version may come several times."""
-    state = flush_state(manifest, runs).select("keyspace_id", "sstable_id", "covered")
-    rows = versions.select(*VERSION, "sstable_id").join(state, ["keyspace_id", "sstable_id"])
-    return rows.select(*VERSION, "covered", F.pmod(F.xxhash64("keyspace_id", "key_value"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+def without_last_flush(manifest: DataFrame) -> DataFrame:
+    """The manifest as it was before the last completed flush of each keyspace completed."""
+    last = completed_flushes(manifest).groupBy("keyspace_id").agg(F.max("operation_id").alias("_last"))
+    rows = manifest.join(last, "keyspace_id", "left")
+    return rows.where(F.coalesce((F.col("operation_content") != "Completed") | (F.col("completed_operation_id") != F.col("_last")), F.lit(True))).drop("_last")
+
+
+UNIT = ["keyspace_id", "unit"]
+FLUSH_SCHEMA = "keyspace_id long, operation_id long, sstable_id long, covered boolean"
+
+
+def _sums(*columns: str) -> list[Column]:
+    """Count and two additive hashes of a group's rows, as texts: equal exactly if the rows are the same, whatever their order."""
+    h = lambda seed: F.sum(F.xxhash64(*columns, F.lit(seed)).cast("decimal(20,0)"))
+    return [F.count(F.lit(1)).cast("string"), h(1).cast("string"), h(2).cast("string")]
+
+
+def with_unit(flushes: DataFrame, bits: int) -> DataFrame:
+    return flushes.withColumn("unit", F.shiftright("operation_id", bits))
 
 
-def fingerprints(states: DataFrame) -> DataFrame:
-    """Count and additive hashes of each partition's rows: equal exactly if the rows are the same, whatever their order."""
-    h = lambda seed: F.sum(F.xxhash64(*VERSION, "covered", F.lit(seed)).cast("decimal(20,0)"))
-    return states.groupBy("keyspace_id", "bucket").agg(F.count(F.lit(1)).alias("n_rows"), h(1).alias("hash_1"), h(2).alias("hash_2"))
+def prints(rows: DataFrame, *columns: str) -> dict[Unit, list[str]]:
+    """Fingerprint of each unit's rows."""
+    return {(r[0], r[1]): list(r[2:]) for r in rows.groupBy(*UNIT).agg(*_sums(*columns)).collect()}
+
+
+def versions_of(versions: DataFrame, flushes: DataFrame) -> DataFrame:
+    """The versions in the SSTables of these flushes. The ids of a few are given to the scan, which then skips what holds none of them."""
+    versions = versions.select(*VERSION, "sstable_id")
+    few = flushes.limit(PUSHED + 1).collect()
+    if len(few) <= PUSHED:
+        ids = sorted({r["sstable_id"] for r in few})
+        versions = versions.where(F.col("sstable_id").isin(*ids) if ids else F.lit(False))
+        flushes = versions.sparkSession.createDataFrame(few, flushes.schema)
+    return versions.join(flushes, ["keyspace_id", "sstable_id"])
 
 
 def pending(states: DataFrame) -> DataFrame:
-    """Versions in a completed flush, none of whose completed flushes is covered."""
-    one = states.groupBy("bucket", *VERSION).agg(F.max("covered").alias("_c"))
-    return one.where(~F.col("_c")).select(*VERSION, "bucket")
+    """Versions none of whose completed flushes is covered, in the unit of their first flush. A version may come several times."""
+    one = states.groupBy(*VERSION).agg(F.max("covered").alias("_c"), F.min("unit").alias("unit"))
+    return one.where(~F.col("_c")).select(*VERSION, "unit")
+
+
+def overlapping(ranges: dict[Unit, Span], asked: dict[Unit, Span]) -> set[Unit]:
+    """Units with a transaction range that meets one of the asked ranges of the same keyspace."""
+    found = set()
+    for k in {k for k, _ in asked}:
+        spans = sorted(s for (x, _), s in asked.items() if x == k)
+        lows, highs = [s[0] for s in spans], list(accumulate((s[1] for s in spans), max))
+        for u, (low, high) in ((u, s) for u, s in ranges.items() if u[0] == k):
+            # Of the asked ranges that begin by the unit's end, the one that reaches furthest.
+            i = bisect_right(lows, high) - 1
+            if i >= 0 and highs[i] >= low:
+                found.add(u)
+    return found
+
+
+@dataclass(frozen=True)
+class Run:
+    """Units there are, those that a run computed again, and those that were different and were replaced."""
+
+    units: int
+    recomputed: int
+    replaced: int
 
 
 class IncrementalPending:
     """The pending versions of a feed, kept as a table in ``path`` of which each run replaces the changed partitions only.
 
-    Layout: ``data`` (partitioned by keyspace and bucket) and ``prints`` (the fingerprint of each
-    partition as of its last replacement, partitioned alike). A run replaces data first and prints
-    after; if it fails between or amid, the next run finds the old prints, takes the partitions as
-    changed and replaces them again, so nothing is skipped or repeated. Each changed partition also
-    gets a marker row, so that one without pending rows is emptied rather than left as it was.
+    ``data`` holds the rows, partitioned by keyspace and unit. Each generation ``meta-<n>`` holds the
+    flushes as of a run and, of every unit, count and additive hashes of its flushes and of its
+    rows, and the range of its transactions; the file ``current`` names the generation in force.
+
+    A run compares the flushes' fingerprints, reads what may have changed (see the module), and
+    replaces the units whose rows came out different, by dynamic partition overwrite. The generation
+    is published last, as one file: a run that fails before has changed nothing that the next one
+    relies on, and the next one replaces the same units again, so nothing is skipped or repeated.
+    Each unit has a marker row, so that one without pending rows is emptied rather than left.
+
+    The driver holds ten numbers per unit, that is per UNIT_ROWS versions. Versions with a null
+    transaction count as of transaction -1 when ranges are compared.
     """
 
-    MARK = "_mark"
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.data, self.prints = spark, f"{path}/data", f"{path}/prints"
-
-    def _read(self, path: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        there = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-        return self.spark.read.schema(schema).parquet(path) if there else self.spark.createDataFrame([], schema)
-
-    def changed(self, states: DataFrame) -> DataFrame:
-        """keyspace_id, bucket and new fingerprint of the partitions that differ from the stored ones, vanished ones included (count 0)."""
-        old = self._read(self.prints, "n_rows long, hash_1 decimal(30,0), hash_2 decimal(30,0), keyspace_id long, bucket int")
-        old = old.select("keyspace_id", "bucket", *[F.col(c).alias("_" + c) for c in ("n_rows", "hash_1", "hash_2")])
-        both = fingerprints(states).join(old, ["keyspace_id", "bucket"], "full_outer")
-        same = F.col("n_rows").eqNullSafe(F.col("_n_rows")) & F.col("hash_1").eqNullSafe(F.col("_hash_1")) & F.col("hash_2").eqNullSafe(F.col("_hash_2"))
-        gone = (F.col("_n_rows") == 0) & F.col("n_rows").isNull()
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast(dict(both.dtypes)[c])).alias(c)
-        return both.where(~same & ~F.coalesce(gone, F.lit(False))).select("keyspace_id", "bucket", zero("n_rows"), zero("hash_1"), zero("hash_2"))
-
-    def run(self, versions: DataFrame, manifest: DataFrame, runs: DataFrame) -> int:
-        """Brings the table up to date; gives the number of partitions replaced."""
-        states = version_states(versions, manifest, runs).persist()
-        try:
-            # As many rows as partitions: BUCKETS per keyspace.
-            rows = self.changed(states).collect()
-            if not rows:
-                return 0
-            changed = self.spark.createDataFrame(rows, "keyspace_id long, bucket int, n_rows long, hash_1 decimal(30,0), hash_2 decimal(30,0)")
-            parts = F.broadcast(changed.select("keyspace_id", "bucket"))
-            new = pending(states.join(parts, ["keyspace_id", "bucket"], "left_semi")).withColumn(self.MARK, F.lit(False))
-            marks = changed.select("keyspace_id", F.lit(None).cast("string").alias("key_value"), F.lit(None).cast("long").alias("txn_id"), "bucket", F.lit(True).alias(self.MARK))
-            self._replace(new.unionByName(marks), self.data)
-            self._replace(changed, self.prints)
-            return len(rows)
-        finally:
-            states.unpersist()
-
-    @staticmethod
-    def _replace(df: DataFrame, path: str) -> None:
-        df.repartition("keyspace_id", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("keyspace_id", "bucket").parquet(path)
+    MARK, NOTHING = "_mark", ["0", None, None]
+
+    def __init__(self, spark: SparkSession, path: str, unit_rows: int = UNIT_ROWS, least_units: int = LEAST_UNITS) -> None:
+        self.spark, self.path, self.files = spark, path, Files(spark)
+        self.unit_rows, self.least_units = unit_rows, least_units
+
+    def _current(self) -> dict:
+        self.files.recover(f"{self.path}/current")
+        return json.loads(self.files.read(f"{self.path}/current")) if self.files.exists(f"{self.path}/current") else {"generation": 0, "units": []}
+
+    def _kept(self, df: DataFrame, generation: int, name: str) -> DataFrame:
+        path = f"{self.path}/meta-{generation}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def layout(self, versions: DataFrame, flushes: DataFrame) -> int:
+        """Width of units in operations, as a power of two. Chosen by the first run from the sizes it finds."""
+        per = flushes.groupBy("keyspace_id").agg((F.max("operation_id") - F.min("operation_id") + 1).alias("span"), F.count(F.lit(1)).alias("n"))
+        span, n = per.agg(F.coalesce(F.max("span"), F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        return int(math.log2(max(1, min(span // self.least_units, self.unit_rows * n // max(1, versions.count())))))
+
+    def _units(self, units: Iterable[Unit]) -> DataFrame:
+        return self.spark.createDataFrame(sorted(units), "keyspace_id long, unit long")
+
+    def run(self, versions: DataFrame, manifest: DataFrame, runs: DataFrame) -> Run:
+        """Brings the table up to date."""
+        was = self._current()
+        old, new = was["generation"], was["generation"] + 1
+        known = {(k, u): rest for k, u, *rest in was["units"]}  # unit -> fingerprint of flushes, fingerprint of rows, range
+        flushes = self._kept(flush_state(manifest, runs), new, "flushes")
+        bits = was["bits"] if old else self.layout(versions, flushes)
+        flushes = with_unit(flushes, bits)
+        digests = prints(flushes, "operation_id", "sstable_id", "covered")
+        differ = {u for u in digests.keys() | known.keys() if digests.get(u) != (known[u][0] if u in known else None)}
+        if old and not differ:
+            self.files.delete(f"{self.path}/meta-{new}")
+            return Run(len(digests), 0, 0)
+        touched = flushes.select(*UNIT, "sstable_id")
+        if old:
+            before = with_unit(self.spark.read.schema(FLUSH_SCHEMA).parquet(f"{self.path}/meta-{old}/flushes"), bits)
+            both = flushes.withColumn("_n", F.lit(1)).union(before.withColumn("_n", F.lit(-1))).join(self._units(differ), UNIT, "left_semi")
+            touched = both.groupBy(*UNIT, "operation_id", "sstable_id", "covered").agg(F.sum("_n").alias("_n")).where("_n != 0").select(*UNIT, "sstable_id").distinct()
+            touched = self._kept(touched, new, "touched")
+        txn = F.coalesce("txn_id", F.lit(-1))
+        met = {(r[0], r[1]): (r[2], r[3]) for r in versions_of(versions, touched).groupBy(*UNIT).agg(F.min(txn), F.max(txn)).collect()}
+        ranges = {u: tuple(x[2]) for u, x in known.items() if x[2]}
+        ranges |= {u: (min(a, ranges[u][0]), max(b, ranges[u][1])) if u in ranges else (a, b) for u, (a, b) in met.items()}
+        again = overlapping(ranges, met) | differ
+        if old:
+            near = overlapping(ranges, {u: ranges[u] for u in again if u in ranges}) | again
+            states = versions_of(versions, flushes.join(self._units(near), UNIT, "left_semi").select(*UNIT, "sstable_id", "covered"))
+            rows = self._kept(pending(states).join(self._units(again), UNIT, "left_semi"), new, "rows")
+            found = prints(rows, *VERSION)
+            replaced = {u for u in again if found.get(u, self.NOTHING) != (known[u][1] if u in known else self.NOTHING)}
+            if replaced:
+                self._replace(rows.join(self._units(replaced), UNIT, "left_semi"), replaced)
+        else:
+            replaced = again
+            self._replace(pending(versions_of(versions, flushes.select(*UNIT, "sstable_id", "covered"))), again)
+            found = prints(self._data().where(~F.col(self.MARK)), *VERSION)
+        units = [[*u, x, found.get(u, self.NOTHING) if u in again else known[u][1], ranges.get(u)] for u, x in sorted(digests.items())]
+        self.files.write(f"{self.path}/current", json.dumps({"generation": new, "bits": bits, "units": units}))
+        for name in (f"meta-{new}/rows", f"meta-{new}/touched", f"meta-{old - 1}"):
+            self.files.delete(f"{self.path}/{name}")
+        return Run(len(digests), len(again), len(replaced))
+
+    def _replace(self, rows: DataFrame, units: set[Unit]) -> None:
+        """Replaces these units. A large unit is written by several tasks, small ones share tasks."""
+        marks = self._units(units).select("keyspace_id", F.lit(None).cast("string").alias("key_value"), F.lit(None).cast("long").alias("txn_id"), "unit", F.lit(True).alias(self.MARK))
+        out = rows.withColumn(self.MARK, F.lit(False)).unionByName(marks).hint("rebalance", *UNIT)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*UNIT).parquet(f"{self.path}/data")
+
+    def _data(self) -> DataFrame:
+        return self.spark.read.schema(f"key_value string, txn_id long, {self.MARK} boolean, keyspace_id long, unit long").parquet(f"{self.path}/data")
 
     def read(self) -> DataFrame:
-        rows = self._read(self.data, f"key_value string, txn_id long, {self.MARK} boolean, keyspace_id long, bucket int")
-        return rows.where(~F.col(self.MARK)).select(*VERSION)
+        if not self.files.exists(f"{self.path}/data"):
+            return self.spark.createDataFrame([], "keyspace_id long, key_value string, txn_id long")
+        return self._data().where(~F.col(self.MARK)).select(*VERSION)

@@ -77,23 +77,34 @@ def p5_streamed(spark: SparkSession, d: str) -> DataFrame:
     return state.read()
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """A first run over state that does not exist yet: every partition is new, is computed and published."""
+def _p6_runs(spark: SparkSession, d: str) -> tuple[incremental.IncrementalPending, list[incremental.Run]]:
+    """Two runs over a state of their own: one before the last flush of each keyspace completed, one after."""
     table = incremental.IncrementalPending(spark, shared_path(spark, "p6"))
-    table.run(t(spark, d, "key_version"), t(spark, d, "manifest_operation"), t(spark, d, "processing_run"))
-    return table.read()
+    versions, manifest, runs = t(spark, d, "key_version"), t(spark, d, "manifest_operation"), t(spark, d, "processing_run")
+    return table, [table.run(versions, m, runs) for m in (incremental.without_last_flush(manifest), manifest)]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The table after a run that had only the last flush of each keyspace to bring in."""
+    return _p6_runs(spark, d)[0].read()
 
 
-def p6_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    states = incremental.version_states(t(spark, d, "key_version"), t(spark, d, "manifest_operation"), t(spark, d, "processing_run"))
-    return incremental.fingerprints(states)
+def p6_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Of both runs: the partitions there are, those computed and those replaced."""
+    rows = [(i, r.units, r.recomputed, r.replaced) for i, r in enumerate(_p6_runs(spark, d)[1], 1)]
+    return spark.createDataFrame(rows, "run int, n_units long, n_recomputed long, n_replaced long")
+
+
+def p6_flushes(spark: SparkSession, d: str) -> DataFrame:
+    """The completed flushes and whether a run covers them: what the units' fingerprints are made of."""
+    return incremental.flush_state(t(spark, d, "manifest_operation"), t(spark, d, "processing_run"))
 
 
 TABLES = {1: "personas", 2: "cuentas", 3: "pagos", 4: "articulos", 5: "accesos", 6: "tareas"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_value_sizes, p2_found, p2_report, p2_filter, p3_found, p3_error_rate, p3_chain_layers, p3_stored_filters, p4_found, p5_found, p5_rows, p5_streamed, p6_found, p6_fingerprints]
+    named = [p1_found, p1_value_sizes, p2_found, p2_report, p2_filter, p3_found, p3_error_rate, p3_chain_layers, p3_stored_filters, p4_found, p5_found, p5_rows, p5_streamed, p6_found, p6_replaced, p6_flushes]
     return {f.__name__: f for f in named} | {f"p4_{name}": _p4_wide(k) for k, name in TABLES.items()}
 
 
@@ -173,6 +184,12 @@ cells AS (
   GROUP BY s.keyspace_id, s.key_value, name::int)"""
 
 
+FLUSHES = """
+done AS (SELECT keyspace_id, completed_operation_id AS id, min(written_at) AS at FROM manifest_operation WHERE operation_content = 'Completed' GROUP BY ALL),
+flushes AS (SELECT DISTINCT m.keyspace_id, m.manifest_operation_id AS id, m.sstable_id, d.at FROM manifest_operation m JOIN done d ON m.keyspace_id = d.keyspace_id AND m.manifest_operation_id = d.id WHERE operation_content = 'MemtableFlush'),
+state AS (SELECT f.*, EXISTS (SELECT 1 FROM processing_run r WHERE r.keyspace_id = f.keyspace_id AND run_state = 'succeeded' AND f.id BETWEEN first_operation_id AND last_operation_id AND started_at >= f.at) AS covered FROM flushes f)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {NEWEST_POSTINGS} SELECT keyspace_id, index_value, primary_key FROM present",
@@ -194,9 +211,8 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"WITH {FEED} SELECT keyspace_id, key_value, column_id, w.t AS txn_id, w.s AS seq FROM cells",
         "p5_streamed": f"WITH {FEED} SELECT keyspace_id, key_value, column_id, w.t AS txn_id, w.s AS seq FROM cells",
         "p5_rows": f"WITH {FEED} SELECT keyspace_id, key_value, count(*) AS n_cells, max(w.t) AS last_txn FROM cells GROUP BY keyspace_id, key_value",
-        "p6_found": """WITH done AS (SELECT keyspace_id, completed_operation_id AS id, min(written_at) AS at FROM manifest_operation WHERE operation_content = 'Completed' GROUP BY ALL),
-            flushes AS (SELECT DISTINCT m.keyspace_id, m.manifest_operation_id AS id, m.sstable_id, d.at FROM manifest_operation m JOIN done d ON m.keyspace_id = d.keyspace_id AND m.manifest_operation_id = d.id WHERE operation_content = 'MemtableFlush'),
-            state AS (SELECT f.*, EXISTS (SELECT 1 FROM processing_run r WHERE r.keyspace_id = f.keyspace_id AND run_state = 'succeeded' AND f.id BETWEEN first_operation_id AND last_operation_id AND started_at >= f.at) AS covered FROM flushes f)
+        "p6_found": f"""WITH {FLUSHES}
             SELECT v.keyspace_id, key_value, txn_id FROM key_version v JOIN state s ON v.keyspace_id = s.keyspace_id AND v.sstable_id = s.sstable_id
             GROUP BY v.keyspace_id, key_value, txn_id HAVING NOT bool_or(covered)""",
+        "p6_flushes": f"WITH {FLUSHES} SELECT keyspace_id, id AS operation_id, sstable_id, covered FROM state",
     } | {f"p4_{name}": _wide_sql(k) for k, name in TABLES.items()}

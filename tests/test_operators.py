@@ -313,32 +313,80 @@ def test_incremental(spark, tmp_path):
     table = incremental.IncrementalPending(spark, f"file://{tmp_path}/p6")
     rows = lambda: [tuple(r) for r in table.read().collect()]
     assert rows() == []
-    assert table.run(*frames(spark, case)) > 4
+    first = table.run(*frames(spark, case))
+    assert first.replaced == first.recomputed == first.units > 40
     assert len(rows()) == len(set(rows())) and set(rows()) == brute_pending(*case) != set()
-    assert table.run(*frames(spark, case)) == 0
-    # One more run covers a few flushes: few partitions change.
+    again = table.run(*frames(spark, case))
+    assert (again.recomputed, again.replaced) == (0, 0)
+    # One more run covers a flush whose versions, here of random transactions, may be in any unit: few change.
     done = {m[5] for m in case[1] if m[2] == "Completed" and m[0] == 1}
     op = next(m[1] for m in case[1] if m[0] == 1 and m[2] == "MemtableFlush" and m[1] in done and any(v[0] == m[4] and (1, v[2], v[3]) in set(rows()) for v in case[0]))
     more = (case[0], case[1], [*case[2], (500, 1, op, op, "succeeded", DAY + dt.timedelta(days=900), None)])
-    assert 0 < table.run(*frames(spark, more)) <= 4
+    ran = table.run(*frames(spark, more))
+    assert 0 < ran.replaced <= 4 and ran.replaced <= ran.recomputed
     assert set(rows()) == brute_pending(*more) != brute_pending(*case)
 
 
+def ordered_case(n_ops=400):
+    """Flushes of transactions in order, each with some versions of the one before."""
+    at = lambda h: DAY + dt.timedelta(hours=h)
+    manifest, versions = [], []
+    for ks in (1, 2):
+        for op in range(1, n_ops, 2):
+            manifest += [(ks, op, "MemtableFlush", op, ks * 1000 + op, None, at(op)), (ks, op + 1, "Completed", None, None, op, at(op + 1))]
+            versions += [(ks * 1000 + op, ks, f"k{t % 97}", t, False) for t in range(op * 10 - 12, op * 10 + 20)]
+    return versions, manifest, [(1, 1, 1, 150, "succeeded", at(9999), None)]
+
+
+def test_incremental_reads_and_replaces_little(spark, tmp_path):
+    versions, manifest, runs = case = ordered_case()
+    table = incremental.IncrementalPending(spark, f"file://{tmp_path}/p6")
+    v, m, r = frames(spark, case)
+    table.run(v, incremental.without_last_flush(m), r)
+    assert {tuple(x) for x in table.read().collect()} == brute_pending(versions, [x for x in manifest if x[1] != 400], runs)
+    # The versions of all other flushes are not there to be read.
+    late = [x for x in versions if x[0] % 1000 > 300]
+    ran = table.run(spark.createDataFrame(late, VERSIONS), m, r)
+    assert 0 < ran.replaced <= ran.recomputed <= ran.units / 10
+    assert {tuple(x) for x in table.read().collect()} == brute_pending(*case)
+    # A flush that is gone from the manifest takes its versions with it, and a covered one hides those it shares.
+    fewer = [x for x in manifest if x[1] not in (201, 202)], [*runs, (2, 1, 301, 301, "succeeded", DAY + dt.timedelta(days=999), None)]
+    ran = table.run(v, *frames(spark, (versions, *fewer))[1:])
+    assert 0 < ran.replaced < ran.units / 5
+    assert {tuple(x) for x in table.read().collect()} == brute_pending(versions, *fewer)
+
+
+def test_overlapping():
+    rnd = random.Random(6)
+    spans = lambda n: {(rnd.randrange(2), i): (a := rnd.randrange(300), a + rnd.choice([0, 5, 60])) for i in range(n)}
+    for _ in range(50):
+        have, asked = spans(20), spans(3)
+        want = {u for u, (a, b) in have.items() if any(k == u[0] and a <= y and x <= b for (k, _), (x, y) in asked.items())}
+        assert incremental.overlapping(have, asked) == want
+
+
 def test_incremental_survives_a_failure(spark, tmp_path, monkeypatch):
     case = manifest_case(2)
     table = incremental.IncrementalPending(spark, f"file://{tmp_path}/p6")
-    real = table._replace
-    monkeypatch.setattr(table, "_replace", lambda df, path: real(df, path) if path.endswith("data") else (_ for _ in ()).throw(OSError("lost")))
-    with pytest.raises(OSError):
-        table.run(*frames(spark, case))
-    monkeypatch.undo()
-    assert table.run(*frames(spark, case)) > 0
+    fail = lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    for what, where in ((table, "_replace"), (table.files, "write")):
+        with monkeypatch.context() as m:
+            m.setattr(what, where, fail)
+            with pytest.raises(OSError):
+                table.run(*frames(spark, case))
+    assert table.run(*frames(spark, case)).replaced > 0
     assert {tuple(r) for r in table.read().collect()} == brute_pending(*case)
-    # Everything is covered now: partitions are emptied.
+    # Everything is covered now: partitions are emptied, also where the run before failed to publish.
     all_ = (case[0], case[1], [(1, ks, 0, 1 << 40, "succeeded", DAY + dt.timedelta(days=900), None) for ks in (1, 2)])
-    assert table.run(*frames(spark, all_)) > 0 and table.read().count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(table.files, "write", fail)
+        with pytest.raises(OSError):
+            table.run(*frames(spark, all_))
+    assert table.run(*frames(spark, all_)).replaced > 0 and table.read().count() == 0
     # And the inputs are gone.
-    assert table.run(*frames(spark, ([], [], []))) > 0 and table.run(*frames(spark, ([], [], []))) == 0
+    none = ([], [], [])
+    table.run(*frames(spark, none))
+    assert table.read().count() == 0 and table.run(*frames(spark, none)).recomputed == 0
 
 
 def test_cover_is_exact(spark):
