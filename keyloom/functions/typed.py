@@ -20,14 +20,17 @@ FLOAT = r"[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?"
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.btrim(text, F.lit(" \t\r\n"))
+
+
+def _digits(text: Column) -> Column:
+    return text.rlike(rf"^{BLANKS}[+-]?[0-9]+{BLANKS}\z")
 
 
 def integer(text: Column) -> Column:
     """The text as decimal(38,0): an optional sign and digits with blanks around; null for any other text, or beyond 38 digits."""
-    ok = text.rlike(rf"^{BLANKS}[+-]?[0-9]+{BLANKS}\z")
     digits = F.regexp_replace(_bare(text), r"^([+-]?)0+(?=[0-9])", "$1")
-    return F.when(ok & (F.length(digits) <= 39), digits.try_cast("decimal(38,0)"))
+    return F.when(_digits(text) & (F.length(digits) <= 39), digits.try_cast("decimal(38,0)"))
 
 
 def is_value(text: Column, kind: str) -> Column:
@@ -46,11 +49,29 @@ def is_value(text: Column, kind: str) -> Column:
     return F.lit(False)
 
 
-def is_value_of(text: Column, kind: Column) -> Column:
-    """``is_value`` where the type is a column too."""
-    out = F.when(kind == "VARCHAR", F.lit(True))
-    for k in [*RANGES, "F32", "F64", "BOOLEAN", "DATE"]:
-        out = out.when(kind == k, is_value(text, k))
+#: What a text is checked by, for each type.
+_FAMILIES = {"text": ["VARCHAR"], "long": [k for k, (_, high) in RANGES.items() if high < 1 << 63], "unsigned": ["U64"], "float": ["F32", "F64"], "boolean": ["BOOLEAN"], "date": ["DATE"]}
+
+
+def facts(kind: Column) -> Column:
+    """What ``is_value_of`` needs to know of a type: computed once per column of a catalogue, not per text. A null family is an unknown type."""
+    one = lambda pairs, to: F.coalesce(*[F.when(kind.isin(*ks), F.lit(v)) for ks, v in pairs]).cast(to)
+    bounds = [one([([k], RANGES[k][i]) for k in _FAMILIES["long"]], "bigint") for i in (0, 1)]
+    return F.struct(one([(ks, i) for i, ks in enumerate(_FAMILIES.values())], "int").alias("family"), bounds[0].alias("low"), bounds[1].alias("high"))
+
+
+def is_value_of(text: Column, of: Column) -> Column:
+    """``is_value`` for a type given by its ``facts``. Small, as Spark compiles it into one method, and long ones stay uncompiled."""
+    bare = F.ltrim(F.btrim(text, F.lit(" \t\r\n+-")), F.lit("0"))
+    most = str(RANGES["U64"][1])
+    checks = {
+        "text": F.lit(True), "long": _digits(text) & F.coalesce(text.try_cast("bigint").between(of["low"], of["high"]), F.lit(False)),
+        "unsigned": _digits(text) & ((bare == "") | (~text.contains("-") & ((F.length(bare) < len(most)) | ((F.length(bare) == len(most)) & (bare <= most))))),
+        **{f: is_value(text, _FAMILIES[f][-1]) for f in ("float", "boolean", "date")},
+    }
+    out = F.when(F.lit(False), F.lit(True))
+    for i, f in enumerate(_FAMILIES):
+        out = out.when(of["family"] == i, checks[f])
     return out.otherwise(False)
 
 
@@ -62,6 +83,8 @@ def to_value(text: Column, kind: str) -> Column:
     return F.when(is_value(text, kind), value.try_cast(SPARK_TYPES[kind]))
 
 
-def canonical_key(text: Column, kind: Column) -> Column:
-    """A key as it is shown: integers as plain digits, so that equal numbers are equal; other types as they stand."""
-    return F.when(kind.isin(*RANGES), integer(text).cast("string")).otherwise(text)
+def canonical_key(text: Column, of: Column) -> Column:
+    """A key, which is a value of the type with these ``facts``, as it is shown: integers as plain digits, so that equal numbers are equal; other types as they stand."""
+    bare = F.ltrim(F.btrim(text, F.lit(" \t\r\n+-")), F.lit("0"))
+    number = F.concat(F.when(text.contains("-") & (bare != ""), F.lit("-")).otherwise(F.lit("")), F.when(bare == "", F.lit("0")).otherwise(bare))
+    return F.when(of["family"].isin(1, 2), number).otherwise(text)

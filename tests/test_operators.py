@@ -200,6 +200,37 @@ def test_wide(spark):
     assert wide.filled_cells(empty, s).count() == 0 and wide.wide_table(empty, s, 1).columns == ["id", "a", "b", "d", "f", "w"]
 
 
+def test_wide_has_no_bound_on_tables_or_columns(spark):
+    tables = [(k, f"t{k}", c, f"c{c}", "I64", c == 0, None) for k in range(1, 1001) for c in range(5)]
+    many = [(5000, "m", c, f"c{c}", "I64", c == 0, None) for c in range(2 * wide.BAND + 3)]
+    records = [(k * 10 + c, k, "1", c, str(k), 5, DAY) for k in range(1, 1001) for c in (1, 3)]
+    records += [(100_000 + c, 5000, "7", c, "1", 5, DAY) for c in (1, wide.BAND + 1, 2 * wide.BAND + 1, 2 * wide.BAND + 2)]
+    got = {tuple(r) for r in wide.filled_cells(spark.createDataFrame(records, RECORD), spark.createDataFrame(tables + many, SCHEMA)).collect()}
+    assert got == {(k, "1" if k != 5000 else "7", c, i) for i, k, _, c, _, _, _ in records}
+    row = wide.wide_table(spark.createDataFrame(records, RECORD), spark.createDataFrame(many, SCHEMA), 5000).first()
+    assert len(row) == len(many) and row.c1 == row[f"c{2 * wide.BAND + 2}"] == 1 and row.c2 is None
+
+
+def test_cells_are_hashed_and_not_sorted(spark, small):
+    from keyloom import problems
+
+    text = problems.p4_found(spark, small)._jdf.queryExecution().executedPlan().toString()
+    body = text.split("BroadcastExchange")[0]
+    assert "HashAggregate" in body and "SortAggregate" not in body
+
+
+def test_type_checks_agree(spark):
+    from keyloom.functions import typed
+
+    texts = ["0", "-0", "+5", " 7\n", "255", "256", "-1", "1.5", "", "x", "18446744073709551615", "18446744073709551616", "-18446744073709551615", "9223372036854775808", "-9223372036854775808", "0" * 70 + "3", "+-5", "5-", "9" * 90, "true", " FALSE\t", "2020-02-29", "2021-02-29", "1e5", "1e", "٣"]
+    kinds = [*typed.RANGES, "F32", "F64", "BOOLEAN", "DATE", "VARCHAR", "NONE"]
+    df = spark.createDataFrame([(t, k) for t in texts for k in kinds], "t string, k string").withColumn("f", typed.facts(F.col("k")))
+    one = F.coalesce(*[F.when(F.col("k") == k, typed.is_value(F.col("t"), k)) for k in kinds])
+    assert df.where(typed.is_value_of(F.col("t"), F.col("f")) != one).collect() == []
+    keys = df.where(F.col("k").isin(*typed.RANGES) & one).where(~typed.canonical_key(F.col("t"), F.col("f")).eqNullSafe(typed.integer(F.col("t")).cast("string")))
+    assert keys.collect() == []
+
+
 FEED = "entry_id long, keyspace_id long, memtable_id long, key_value long, txn_id long, seq long, op string, entry_value string, arrived_at timestamp"
 
 
