@@ -212,6 +212,86 @@ def compacted_read(spark: SparkSession, d: str) -> DataFrame:
     return s.sql("SELECT * FROM supplier;").data
 
 
+def created_table(spark: SparkSession, d: str) -> DataFrame:
+    """A table made by CREATE TABLE, its rows set, updated and deleted by statements alone."""
+    s = session(spark, d)
+    s.sql("CREATE TABLE t (id I64 PRIMARY KEY, name VARCHAR, money F64, small U8, big U64, real F32, flag BOOLEAN);")
+    for x in (
+        'INSERT INTO t (id, name, money, small, big, real, flag) VALUES (1, "one", 1.5, 255, 18446744073709551615, 0.25, TRUE);', 'INSERT INTO t (id, name) VALUES (2, "two");',
+        "INSERT INTO t (id, flag) VALUES (-3, FALSE);", "INSERT INTO t (id) VALUES (4);", "UPDATE t SET money = id * 2.5, SET small = small - 1 WHERE id < 4;", "DELETE FROM t WHERE id == 4;",
+    ):
+        s.sql(x)
+    return s.sql("SELECT * FROM t;").data
+
+
+def background_index(spark: SparkSession, d: str) -> DataFrame:
+    """An index that is built in the background, with a write before it is ready and one after."""
+    s = session(spark, d, "customer")
+    s.sql("CREATE INDEX ON customer (c_nationkey) ASYNC;")
+    s.sql("UPDATE customer SET c_nationkey = 3 WHERE c_custkey <= 40;")
+    s.engine.wait()
+    s.sql("UPDATE customer SET c_nationkey = 4 WHERE c_custkey <= 20;")
+    return s.sql("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey == 3;").data
+
+
+def recovered(spark: SparkSession, d: str) -> DataFrame:
+    """What another engine finds after the first one stopped within a transaction, and what it adds."""
+    s = session(spark, d, "supplier")
+    s.sql("UPDATE supplier SET s_acctbal = 0.0 WHERE s_nationkey == 1;")
+    s.sql("START_TRANSACTION;")
+    s.sql("DELETE FROM supplier;")
+    again = Engine(spark, s.engine.catalog.root).session("main")
+    again.sql("UPDATE supplier SET s_acctbal = 7.0 WHERE s_suppkey == 1;")
+    return again.sql("SELECT s_suppkey, s_acctbal FROM supplier;").data
+
+
+def last_id_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Two transactions write the same rows: the later one counts, though the earlier one commits last."""
+    s = session(spark, d, "supplier")
+    other = s.engine.session("main")
+    s.sql("START_TRANSACTION;")
+    other.sql("START_TRANSACTION;")
+    other.sql("UPDATE supplier SET s_acctbal = 2.0 WHERE s_suppkey <= 3;")
+    s.sql("UPDATE supplier SET s_acctbal = 1.0 WHERE s_suppkey <= 5;")
+    other.sql("COMMIT;")
+    s.sql("COMMIT;")
+    return s.sql("SELECT s_suppkey, s_acctbal FROM supplier;").data
+
+
+def use_rolls_back(spark: SparkSession, d: str) -> DataFrame:
+    """Changing the database, or closing the session, ends an open transaction without effect."""
+    s = session(spark, d, "supplier")
+    s.sql("START_TRANSACTION;")
+    s.sql("DELETE FROM supplier WHERE s_suppkey < 5;")
+    s.use("main")
+    s.sql("START_TRANSACTION;")
+    s.sql("DELETE FROM supplier WHERE s_suppkey > 5;")
+    s.close()
+    return s.engine.session("main").sql("SELECT s_suppkey FROM supplier;").data
+
+
+def auto_commit_off(spark: SparkSession, d: str) -> DataFrame:
+    """Without auto-commit the first write opens a transaction that ROLLBACK undoes and COMMIT keeps."""
+    s = session(spark, d, "supplier")
+    s.set_auto_commit(False)
+    s.sql("DELETE FROM supplier WHERE s_suppkey < 5;")
+    s.sql("ROLLBACK;")
+    s.sql("UPDATE supplier SET s_nationkey = 77 WHERE s_suppkey == 6;")
+    s.sql("COMMIT;")
+    return s.engine.session("main").sql("SELECT s_suppkey, s_nationkey FROM supplier;").data
+
+
+def table_merge(spark: SparkSession, d: str) -> DataFrame:
+    """A table whose balances add up: a write to them is an amount that is added."""
+    s = session(spark, d, "supplier")
+    s.engine.set_merge("main", "supplier", {"s_acctbal": "sum"})
+    for x in ("UPDATE supplier SET s_acctbal = 10.0 WHERE s_suppkey <= 5;", "UPDATE supplier SET s_acctbal = -1.0 WHERE s_suppkey <= 2;"):
+        s.sql(x)
+    s.engine.compact("main", "supplier")
+    s.sql("UPDATE supplier SET s_acctbal = 100.0, SET s_nationkey = 5 WHERE s_suppkey == 1;")
+    return s.sql("SELECT * FROM supplier;").data.select("s_suppkey", "s_nationkey", F.round("s_acctbal", 2).alias("s_acctbal"))
+
+
 def posting_list(spark: SparkSession, d: str) -> DataFrame:
     """Size and ends of each value's posting list, from its shards."""
     shards = merging.posting_shards(read_table(spark, d, "orders"), "o_orderkey", "o_orderstatus")
@@ -258,7 +338,7 @@ def read_uncommitted(spark: SparkSession, d: str) -> DataFrame:
     return s.engine.session("main", "read_uncommitted").sql("SELECT s_suppkey, s_nationkey FROM supplier;").data
 
 
-NAMED = [merge_union, merge_intersection, merge_union_segment, merge_intersection_segment, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_visibility_share, snapshot_read, rollback_hidden, compacted_read, posting_list, posting_list_merge, posting_as_of, posting_as_of_all, merge_hook, read_uncommitted]
+NAMED = [merge_union, merge_intersection, merge_union_segment, merge_intersection_segment, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_visibility_share, snapshot_read, rollback_hidden, compacted_read, posting_list, posting_list_merge, posting_as_of, posting_as_of_all, merge_hook, read_uncommitted, created_table, background_index, recovered, last_id_wins, use_rolls_back, auto_commit_off, table_merge]
 
 
 def queries() -> dict[str, Query]:
@@ -290,6 +370,15 @@ def oracle_sql() -> dict[str, str]:
         "snapshot_read": "SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 1::double ELSE s_acctbal END AS s_acctbal FROM supplier",
         "rollback_hidden": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey <> 4",
         "compacted_read": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey < 10 THEN 0 ELSE s_nationkey END AS s_nationkey, s_acctbal FROM supplier WHERE s_acctbal >= 0",
+        "created_table": """SELECT * FROM (VALUES (1::bigint, 'one', 2.5::double, 254::smallint, 18446744073709551615::decimal(20,0), 0.25::float, true), (2, 'two', 5, NULL, NULL, NULL, NULL), (-3, NULL, -7.5, NULL, NULL, NULL, false))
+            v(id, name, money, small, big, real, flag)""",
+        "background_index": "SELECT c_custkey, 3 AS c_nationkey FROM customer WHERE (c_nationkey = 3 AND c_custkey > 40) OR c_custkey BETWEEN 21 AND 40",
+        "recovered": "SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 7::double WHEN s_nationkey = 1 THEN 0::double ELSE s_acctbal END AS s_acctbal FROM supplier",
+        "last_id_wins": "SELECT s_suppkey, CASE WHEN s_suppkey <= 3 THEN 2::double WHEN s_suppkey <= 5 THEN 1::double ELSE s_acctbal END AS s_acctbal FROM supplier",
+        "use_rolls_back": "SELECT s_suppkey FROM supplier",
+        "auto_commit_off": "SELECT s_suppkey, CASE WHEN s_suppkey = 6 THEN 77 ELSE s_nationkey END AS s_nationkey FROM supplier",
+        "table_merge": """SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 5 ELSE s_nationkey END AS s_nationkey,
+            round(s_acctbal + CASE WHEN s_suppkey <= 5 THEN 10 ELSE 0 END - CASE WHEN s_suppkey <= 2 THEN 1 ELSE 0 END + CASE WHEN s_suppkey = 1 THEN 100 ELSE 0 END, 2) AS s_acctbal FROM supplier""",
         "posting_as_of": """SELECT keyspace_id, index_value, primary_key FROM
             (SELECT keyspace_id, index_value, unnest(entries, recursive := true) FROM posting_list WHERE keyspace_id = 103)
             WHERE primary_key IS NOT NULL AND is_present IS NOT NULL AND txn_id <= 2000 AND txn_id NOT IN (80, 400)

@@ -16,7 +16,7 @@ from keyloom.sources.files import Files
 
 @dataclass
 class TableInfo:
-    """types: column -> type in declared order. base: Parquet of the rows before the log, if any. logged: a statement wrote to it."""
+    """types: column -> type in declared order. base: Parquet of the rows before the log, if any. logged: a statement wrote to it. merges: column -> function that combines its values."""
 
     name: str
     folder: str
@@ -27,6 +27,7 @@ class TableInfo:
     log_number: int = 0
     logged: bool = False
     indexes: dict[str, str] = field(default_factory=dict)
+    merges: dict[str, str] = field(default_factory=dict)
 
     @property
     def log(self) -> str:
@@ -48,10 +49,15 @@ class Catalog:
         self.files.make(self.root)
         self.databases: dict[str, dict[str, TableInfo]] = {}
         for name in self.files.names(self.root):
-            path = f"{self.root}/{name}/{self.FILE}"
-            self.files.recover(path)
-            if self.files.exists(path):
-                self.databases[name] = {t: TableInfo(**x) for t, x in json.loads(self.files.read(path)).items()}
+            self.load(name)
+
+    def load(self, database: str) -> None:
+        """Reads the catalogue of a database as it is now."""
+        path = f"{self.root}/{database}/{self.FILE}"
+        # A replacement that is under way: the new file is whole before the old one goes.
+        path = next((p for p in (path, path + ".new") if self.files.exists(p)), None)
+        if path:
+            self.databases[database] = {t: TableInfo(**x) for t, x in json.loads(self.files.read(path)).items()}
 
     def save(self, database: str) -> None:
         self.files.write(f"{self.root}/{database}/{self.FILE}", json.dumps({t: asdict(x) for t, x in self.databases[database].items()}))

@@ -1,4 +1,4 @@
-"""python -m keyloom.engine.cli FOLDER: a prompt for statements; ``use NAME`` and ``exit`` besides."""
+"""python -m keyloom.engine.cli FOLDER [OPTIONS FILE]: a prompt for statements; ``use NAME``, ``autocommit on|off`` and ``exit`` besides."""
 
 from __future__ import annotations
 
@@ -46,27 +46,39 @@ def run_line(session: Session, line: str) -> str | None:
         if word.lower() == "use":
             session.use(rest.strip())
             out = "Database changed"
+        elif word.lower() == "autocommit":
+            session.set_auto_commit({"on": True, "off": False}[rest.strip().lower()])
+            out = f"Auto-commit {rest.strip().lower()}"
         else:
             out = result_text(session.sql(line))
     except KeyloomError as x:
         return f"Error {x.code}, {type(x).__name__}: {x}"
+    except KeyError:
+        return "autocommit on, or autocommit off"
     return f"{out} ({time.time() - began:.2f} s)"
 
 
-def main(folder: str) -> None:
-    from pyspark.sql import SparkSession
-
-    from keyloom.engine.session import Engine
-
-    session = Engine(SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate(), folder).session()
-    while (line := input("> ")) is not None:
+def prompt(session: Session, lines: Iterable[str]) -> Iterable[str]:
+    """The answers to lines, until ``exit`` or their end; then the session is closed."""
+    for line in lines:
         if line.strip():
             answer = run_line(session, line)
             if answer is None:
                 break
-            print(answer)
+            yield answer
     session.close()
 
 
+def main(folder: str, options: str | None = None) -> None:
+    from pyspark.sql import SparkSession
+
+    from keyloom.engine.session import Engine, Options
+
+    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    session = Engine(spark, folder, Options.read(spark, options) if options else None).session()
+    for answer in prompt(session, sys.stdin):
+        print(answer, flush=True)
+
+
 if __name__ == "__main__":
-    main(sys.argv[1])
+    main(*sys.argv[1:])

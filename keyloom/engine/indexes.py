@@ -1,8 +1,9 @@
-"""Secondary indexes: values with the keys of rows that have, or had, them.
+"""Secondary indexes: copies of a table's base, sorted by another column.
 
-An index only proposes keys; the predicate is checked on the current rows. So a posting that an
-update or delete has made stale does no harm, and none is ever missing: each write that sets the
-column adds its postings.
+A copy is read in the base's place where a predicate bounds its column, and the file format skips
+the parts of it that lie outside; it has all columns, so nothing is looked up in the base. Rows that
+the log has changed are merged from the log wherever unchanged rows are read, so a write does not
+touch an index and never makes one stale; compaction makes the copies anew.
 """
 
 from __future__ import annotations
@@ -10,32 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.engine import versions
 from keyloom.engine.catalog import TableInfo
 from keyloom.plans import access_path as P
 
-VALUE = "_value"
 
+def build(spark: SparkSession, table: TableInfo, column: str) -> None:
+    """Writes the copy of the base in order of the column. Rows without a value are left out, as no bound holds for them."""
+    if table.base:
+        rows = versions.read_base(spark, table).where(F.col(f"`{column}`").isNotNull())
+        rows.sort(f"`{column}`").write.mode("overwrite").parquet(table.index_path(column))
 
-def build(rows: DataFrame, table: TableInfo, column: str) -> int:
-    """Postings of all rows that have the column, sorted by value so that row groups can be skipped; gives their number."""
-    path = table.index_path(column)
-    postings(rows, table, column).sort(VALUE).write.mode("overwrite").parquet(path + "/w-0")
-    return rows.sparkSession.read.parquet(path + "/w-0").count()
 
-
-def postings(rows: DataFrame, table: TableInfo, column: str) -> DataFrame:
-    return rows.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").alias(VALUE), F.col(f"`{table.primary}`"))
-
-
-def extend(rows: DataFrame, table: TableInfo, column: str, seq: int) -> None:
-    postings(rows, table, column).write.parquet(f"{table.index_path(column)}/w-{seq}")
-
-
-def read(spark: SparkSession, table: TableInfo, column: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").parquet(table.index_path(column)).select(VALUE, F.col(f"`{table.primary}`"))
-
-
-def _inside(path: P.Point | P.Range, value: Column) -> Column:
+def _inside(path: P.Point | P.Range) -> Column:
+    value = F.col(f"`{path.column}`")
     if isinstance(path, P.Point):
         return value == F.lit(path.value)
     out = F.lit(True)
@@ -46,45 +35,40 @@ def _inside(path: P.Point | P.Range, value: Column) -> Column:
     return out
 
 
-def candidates(spark: SparkSession, table: TableInfo, path: P.Path, rows: DataFrame) -> DataFrame | None:
-    """Keys that the path proposes, maybe repeated; None if it does not lead through an index.
+def sources(table: TableInfo, path: P.Path) -> list[tuple[str, Column]] | None:
+    """What a path reads: Parquet folders, each with the bounds of its column, which together cover the path's rows; None for the whole base.
 
-    A union needs the keys of both sides, those of a primary side from the current ``rows``. Of an intersection either side
-    alone covers the rows, so a side without an index is left to the predicate.
+    A union reads what both sides read. Of an intersection the side that reads fewer sources is
+    read, points before ranges, as either covers the rows; the other's bounds are pushed into the
+    same scans with the rest of the predicate.
     """
-    key = F.col(f"`{table.primary}`")
     if isinstance(path, P.Merge):
-        sides = [(p, candidates(spark, table, p, rows)) for p in (path.left, path.right)]
-        led = [keys for _, keys in sides if keys is not None]
-        if path.kind == "Intersection":
-            return led[0].join(led[1], table.primary, "left_semi") if len(led) == 2 else led[0] if led else None
-        if not led:
-            return None
-        both = [keys if keys is not None else _primary_keys(table, p, rows) for p, keys in sides]
-        return None if any(x is None for x in both) else both[0].unionByName(both[1])
-    if isinstance(path, (P.Point, P.Range)) and table.indexes.get(path.column) == "active":
-        return read(spark, table, path.column).where(_inside(path, F.col(VALUE))).select(key)
+        left, right = sources(table, path.left), sources(table, path.right)
+        if path.kind == "Union":
+            return None if left is None or right is None else left + right
+        sides = [(len(s), _ranges(p), s) for p, s in ((path.left, left), (path.right, right)) if s is not None]
+        return min(sides, key=lambda x: x[:2])[2] if sides else None
+    if isinstance(path, (P.Point, P.Range)):
+        if path.column == table.primary:
+            return [(table.base, _inside(path))]
+        if table.indexes.get(path.column) == "active":
+            return [(table.index_path(path.column), _inside(path))]
     return None
 
 
-def _primary_keys(table: TableInfo, path: P.Path, rows: DataFrame) -> DataFrame | None:
-    """The keys that a path over the primary column alone proposes; None for any other path."""
-    inside = _primary_inside(table, path)
-    return None if inside is None else rows.where(inside).select(F.col(f"`{table.primary}`"))
-
-
-def _primary_inside(table: TableInfo, path: P.Path) -> Column | None:
-    if isinstance(path, P.Merge):
-        a, b = _primary_inside(table, path.left), _primary_inside(table, path.right)
-        return None if a is None or b is None else (a | b if path.kind == "Union" else a & b)
-    return _inside(path, F.col(f"`{table.primary}`")) if isinstance(path, (P.Point, P.Range)) and path.column == table.primary else None
+def _ranges(path: P.Path) -> int:
+    return _ranges(path.left) + _ranges(path.right) if isinstance(path, P.Merge) else isinstance(path, P.Range)
 
 
-def covering(spark: SparkSession, table: TableInfo, path: P.Path, columns: list[str]) -> DataFrame | None:
-    """The rows from the index alone: where only the key and the indexed column are read, and no write can have made postings stale."""
-    if table.logged or not set(columns) <= {table.primary, getattr(path, "column", None)}:
+def read_through(spark: SparkSession, table: TableInfo, path: P.Path) -> DataFrame | None:
+    """Rows of the base that a path leads to through an index, each once; None if it leads through none."""
+    parts = sources(table, path) if table.base else None
+    if parts is None or all(at == table.base for at, _ in parts):
         return None
-    if isinstance(path, (P.Point, P.Range)) and table.indexes.get(path.column) == "active":
-        rows = read(spark, table, path.column).where(_inside(path, F.col(VALUE)))
-        return rows.select(*[F.col(VALUE).alias(c) if c == path.column else F.col(f"`{c}`") for c in columns])
-    return None
+    out, before = None, F.lit(False)
+    for at, inside in parts:
+        # A row that an earlier part has is left out by that part's bounds, without comparing rows.
+        rows = versions.read_base(spark, table, at).where(inside & ~before)
+        out = rows if out is None else out.unionByName(rows)
+        before = before | F.coalesce(inside, F.lit(False))
+    return out

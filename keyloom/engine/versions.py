@@ -27,9 +27,9 @@ def read_log(spark: SparkSession, table: TableInfo) -> DataFrame:
     return spark.read.schema(log_schema(table)).parquet(table.log)
 
 
-def read_base(spark: SparkSession, table: TableInfo) -> DataFrame:
-    """The base with the table's columns; one that was added later is null."""
-    base = spark.read.parquet(table.base)
+def read_base(spark: SparkSession, table: TableInfo, path: str | None = None) -> DataFrame:
+    """The base, or a copy of it, with the table's columns; one that was added later is null."""
+    base = spark.read.parquet(path or table.base)
     have = set(base.columns)
     return base.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast(SPARK_TYPES[t]).alias(c) for c, t in table.types.items()])
 
@@ -68,28 +68,47 @@ def merged_by(log: DataFrame, primary: str, merges: dict[str, Callable[[Column],
     return live.groupBy(F.col(f"`{primary}`").alias(primary)).agg(*[f(F.col(f"`{c}`")).alias(c) for c, f in merges.items()], F.max(TXN).alias(TXN))
 
 
-def snapshot(spark: SparkSession, table: TableInfo, txn: Transaction | None) -> DataFrame:
+#: Functions that a table may combine a column's values by.
+MERGES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
+
+
+def current(log: DataFrame, table: TableInfo) -> DataFrame:
+    """``merged``, with the columns that have a merge function of their own combined by it; such a column is null where no value was ever set."""
+    columns = list(table.types)
+    rows = merged(log, table.primary, [c for c in columns if c not in table.merges])
+    if not table.merges:
+        return rows
+    key = F.col(f"`{table.primary}`")
+    own = merged_by(log, table.primary, {c: MERGES[f] for c, f in table.merges.items()})
+    types = {c: SPARK_TYPES[table.types[c]] for c in table.merges}
+    own = own.select(key.alias("_k"), *[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
+    return rows.join(own, key.eqNullSafe(F.col("_k")), "left").select(*[F.col(f"`{c}`") for c in columns])
+
+
+def snapshot(spark: SparkSession, table: TableInfo, txn: Transaction | None, part: DataFrame | None = None) -> DataFrame:
     """The rows of a table that a transaction sees; None sees everything, committed or not.
 
     A table that was never written is its base alone. Otherwise only keys with changes are merged:
     the base keeps its other rows as they are, so a small log costs no aggregate over a large base.
+    part: those rows of the base that can be in the result; changed keys are merged all the same.
     """
     columns = list(table.types)
     base = read_base(spark, table) if table.base else None
+    unchanged = base if part is None else part
     if not table.logged:
-        return base if base is not None else spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in table.schema()]))
+        return unchanged if base is not None else spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in table.schema()]))
     log = read_log(spark, table)
     if txn is not None:
-        log = log.where(txn.sees(F.col(TXN)))
+        log = log.where(txn.sees(F.col(TXN), table.base_txn))
     if base is None:
-        return merged(log, table.primary, columns)
+        return current(log, table)
     for c, t in table.types.items():
         if t not in SPARK_TYPES:
             log = log.withColumn(c, F.lit(None).cast(base.schema[c].dataType))
     keys = log.select(F.col(f"`{table.primary}`")).distinct()
     old = base.join(keys, table.primary, "left_semi").select(F.lit(table.base_txn).cast("long").alias(TXN), F.lit(-1).cast("long").alias(SEQ), F.lit(False).alias(DELETED), *[F.col(f"`{c}`") for c in columns])
-    changed = merged(old.unionByName(log), table.primary, columns)
-    return base.join(keys, table.primary, "left_anti").select(*columns).unionByName(changed)
+    changed = current(old.unionByName(log), table)
+    return unchanged.join(keys, table.primary, "left_anti").select(*columns).unionByName(changed)
 
 
 def append(rows: DataFrame, table: TableInfo, txn: Transaction, seq: int, deleted: bool) -> int:

@@ -65,3 +65,9 @@ class IndexAlreadyExists(KeyloomError):
 
 class IllegalOperation(KeyloomError):
     code = 66
+
+
+class InvalidOption(KeyloomError):
+    """An option or its value that does not exist. Its number is of our own."""
+
+    code = 200

@@ -133,3 +133,29 @@ def plan_shards(loads: DataFrame, keys: list[str], subs: list[str], load: str, t
         hot = [(*r[:-1], True) for r in map(tuple, rows)]
         key_schema = T.StructType([*key_schema, *[seen.schema[s] for s in subs]])
     return ShardPlan(tasks, keys, subs, key_schema, at[:n_buckets], [(*k, at[i : i + n]) for k, i, n in spans], hot)
+
+
+def heavy_keys(df: DataFrame, keys: list[str], tasks: int) -> DataFrame | None:
+    """Keys with more than a piece of a task's fair share of the rows, by a sample; None if there are none. Fewer than tasks * PIECES can be found."""
+    sampled = df.where(F.pmod(F.xxhash64(*df.columns), F.lit(SAMPLE)) == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        total = sampled.agg(F.sum("_n")).first()[0] or 0
+        rows = sampled.where(F.col("_n") > max(1000 / SAMPLE, total / (tasks * PIECES))).select(*keys).collect()
+    finally:
+        sampled.unpersist()
+    return df.sparkSession.createDataFrame(rows, df.select(*keys).schema) if rows else None
+
+
+def looked_up(df: DataFrame, right: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """Left join with ``right``, which has at most one row per key, such that no task gets all rows of a heavy key.
+
+    The right rows of heavy keys, fewer than tasks * PIECES, go to where the left rows are; all
+    others meet by a shuffle, or as Spark sees fit. ``df`` is read three times, so it should be a
+    written table. Its keys must not be null.
+    """
+    heavy = heavy_keys(df, keys, tasks)
+    if heavy is None:
+        return df.join(right, keys, "left")
+    heavy = F.broadcast(heavy)
+    light = df.join(heavy, keys, "left_anti").join(right, keys, "left")
+    return light.unionByName(df.join(heavy, keys, "left_semi").join(F.broadcast(right.join(heavy, keys, "left_semi")), keys, "left"))

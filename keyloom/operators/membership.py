@@ -1,16 +1,19 @@
-"""Has this key been seen before? Scalable Bloom chains in bounded memory, with an exact check of what they let through."""
+"""Has this key been seen before? Scalable Bloom chains, kept from run to run, with an exact check of what they let through."""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.sources.shared import ship_package
+from keyloom.operators.references import FILTER_BYTES, bloom_blocks, bloom_filter, filter_bytes, with_might_contain
+from keyloom.sources.files import Files
+from keyloom.sources.shared import checkpointed, shared_path, ship_package
 
 #: Bound on the share of new keys that a chain calls seen, however long its history grows.
 ERROR_BOUND = 0.01
@@ -20,6 +23,8 @@ TIGHTEN = 0.5
 FIRST_CAPACITY, GROWTH = 1024, 2
 #: Layers are made for this part of the error they may have, as small filters err a little more than the formula says.
 MARGIN = 0.8
+#: SSTables up to which their ids go to the scan as a list.
+PUSHED = 1000
 
 
 class BloomChain:
@@ -84,6 +89,18 @@ class BloomChain:
         return 1.0 - math.prod(1.0 - x["error"] for x in self.layers)
 
 
+    @classmethod
+    def of(cls, layers: list[dict], bound: float, capacity: int = FIRST_CAPACITY) -> BloomChain:
+        """A chain of layers that were kept."""
+        chain = cls(bound, capacity)
+        chain.layers = [{**x, "words": np.frombuffer(x["words"], np.uint64).copy()} for x in sorted(layers, key=lambda x: x["layer"])]
+        return chain
+
+
+LAYER = "shard int, layer int, n long, room long, bits long, hashes int, error double, ones long, words binary"
+FACTS = ["n", "room", "bits", "hashes", "error"]
+
+
 def _unsigned(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
@@ -92,18 +109,133 @@ def _hashes() -> list:
     return [F.xxhash64("keyspace_id", "key_value").alias("h1"), F.xxhash64("key_value", "keyspace_id", F.lit(7)).alias("h2")]
 
 
-def _shards(df: DataFrame, shards: int | None) -> int:
-    return shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _known(df: DataFrame) -> DataFrame:
     return df.where("keyspace_id IS NOT NULL AND key_value IS NOT NULL")
 
 
-def _history(versions: DataFrame, shards: int) -> DataFrame:
-    """The distinct earlier keys, as hashes, with their shard; frequent keys are reduced before the shuffle."""
-    keys = _known(versions).groupBy("keyspace_id", "key_value").agg(F.count(F.lit(1)).alias("_n"))
-    return keys.select(*_hashes()).withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
+def _each_shard(batches: Iterator[pa.RecordBatch], bound: float) -> Iterator[tuple[int, BloomChain, pa.RecordBatch | None]]:
+    """Rows sorted by shard, the layers first: the shard's chain with each piece of its other rows, and with None at the shard's end."""
+    shard, chain, layers = None, None, []
+    for b in batches:
+        numbers = b.column("shard").to_numpy()
+        cuts = np.concatenate([[0], np.nonzero(np.diff(numbers))[0] + 1, [len(numbers)]])
+        for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if at == end:
+                continue
+            if numbers[at] != shard:
+                if shard is not None:
+                    yield shard, chain or BloomChain.of(layers, bound), None
+                shard, chain, layers = int(numbers[at]), None, []
+            part = b.slice(at, end - at)
+            kept = part.filter(pa.compute.is_valid(part.column("layer")))
+            layers += kept.select(["layer", *FACTS, "words"]).to_pylist()
+            rest = part.filter(pa.compute.is_null(part.column("layer")))
+            if rest.num_rows:
+                chain = chain or BloomChain.of(layers, bound)
+                yield shard, chain, rest
+    if shard is not None:
+        yield shard, chain or BloomChain.of(layers, bound), None
+
+
+class SeenKeys:
+    """The keys of all history as Bloom chains, one per shard of the key's hash, kept in ``path``.
+
+    Each run adds a folder ``run-<n>`` with the layers that filled up in it, which never change
+    again, the layers still open after it, and the SSTables it took in; the file ``current`` names
+    the last run that ended. A run reads only SSTables that were not taken in yet. A task holds the
+    chain of one shard, and never the keys.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, shards: int | None = None, bound: float = ERROR_BOUND) -> None:
+        self.spark, self.path, self.files = spark, path, Files(spark)
+        self.files.recover(f"{path}/current")
+        kept = json.loads(self.files.read(f"{path}/current")) if self.files.exists(f"{path}/current") else {}
+        self.runs: int = kept.get("runs", 0)
+        self.shards: int = kept.get("shards", shards or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.bound: float = kept.get("bound", bound)
+
+    def _read(self, names: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)
+
+    def layers(self) -> DataFrame:
+        """The layers of all chains: those that are full, of each run, and those open after the last."""
+        full = [f"run-{i}/layers/is_full=true" for i in range(1, self.runs + 1)]
+        names = [*full, f"run-{self.runs}/layers/is_full=false"] if self.runs else []
+        return self._read([n for n in names if self.files.exists(f"{self.path}/{n}")], LAYER)
+
+    def taken(self) -> DataFrame:
+        """sstable_id of the SSTables taken in."""
+        return self._read([f"run-{i}/taken" for i in range(1, self.runs + 1)], "sstable_id long")
+
+    def _with_layers(self, rows: DataFrame) -> DataFrame:
+        """Rows with h1 and h2, and the layers, in the partition of their shard and in its order."""
+        rows = rows.withColumn("shard", F.pmod("h1", F.lit(self.shards)).cast("int"))
+        both = self.layers().drop("ones").unionByName(rows, allowMissingColumns=True)
+        return both.repartitionById(self.shards, F.col("shard")).sortWithinPartitions("shard", F.col("layer").asc_nulls_last())
+
+    def take(self, versions: DataFrame, tables: DataFrame | None = None) -> int:
+        """Takes in the keys of SSTables that were not taken in before; gives their number.
+
+        tables: the SSTables there are, by sstable_id; without it they are looked up in ``versions``.
+        Where none is new, ``versions`` is not read. Repeated keys are reduced before they move.
+        Rows with a null keyspace or key count for nothing.
+        """
+        ship_package(self.spark)
+        to = f"{self.path}/run-{self.runs + 1}"
+        listed = (versions if tables is None else tables).select("sstable_id").distinct()
+        done = self.taken().select(F.col("sstable_id").alias("_s"))
+        listed.join(done, F.col("sstable_id").eqNullSafe(F.col("_s")), "left_anti").write.mode("overwrite").parquet(f"{to}/taken")
+        new = self._read([f"run-{self.runs + 1}/taken"], "sstable_id long")
+        few = new.limit(PUSHED + 1).collect()
+        if not few:
+            self.files.delete(to)
+            return 0
+        rows = _known(versions).select("keyspace_id", "key_value", "sstable_id")
+        if len(few) <= PUSHED and None not in (ids := [r[0] for r in few]):
+            rows = rows.where(F.col("sstable_id").isin(*ids))
+        else:
+            new = new.select(F.col("sstable_id").alias("_s"))
+            rows = rows.join(new, F.col("sstable_id").eqNullSafe(F.col("_s")), "left_semi")
+        keys = rows.select(*_hashes()).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).select("h1", "h2")
+        bound = self.bound
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            full = 0
+            seen = None
+            for shard, chain, rows in _each_shard(batches, bound):
+                if shard != seen:
+                    seen, full = shard, sum(x["n"] == x["room"] for x in chain.layers)
+                if rows is not None:
+                    chain.see(_unsigned(rows.column("h1")), _unsigned(rows.column("h2")))
+                    continue
+                out = [{"shard": shard, "layer": i, **{k: x[k] for k in FACTS}, "ones": int(np.bitwise_count(x["words"]).sum()), "words": x["words"].tobytes(), "is_full": x["n"] == x["room"]} for i, x in enumerate(chain.layers) if i >= full]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out)
+
+        # The first piece of a shard finds its chain as it was kept, so what was full then is known and not written again.
+        self._with_layers(keys).mapInArrow(run, LAYER + ", is_full boolean").write.mode("overwrite").partitionBy("is_full").parquet(f"{to}/layers")
+        self.runs += 1
+        self.files.write(f"{self.path}/current", json.dumps({"runs": self.runs, "shards": self.shards, "bound": self.bound}))
+        return new.count()
+
+    def ask(self, keys: DataFrame) -> DataFrame:
+        """keyspace_id, key_value, probe_id with maybe_seen: false is certain; true is wrong for at most ``bound`` of the new keys."""
+        ship_package(self.spark)
+        bound = self.bound
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, chain, rows in _each_shard(batches, bound):
+                if rows is not None:
+                    seen = chain.contains(_unsigned(rows.column("h1")), _unsigned(rows.column("h2")))
+                    yield pa.RecordBatch.from_arrays([rows.column("keyspace_id"), rows.column("key_value"), rows.column("probe_id"), pa.array(seen)], ["keyspace_id", "key_value", "probe_id", "maybe_seen"])
+
+        rows = keys.select("keyspace_id", "key_value", "probe_id", *_hashes())
+        return self._with_layers(rows).mapInArrow(run, "keyspace_id long, key_value string, probe_id long, maybe_seen boolean")
+
+    def report(self) -> DataFrame:
+        """The layers of each shard's chain: shard, layer, n_keys, capacity, n_bits, n_hashes, fill, error, compounded (bound on the errors of all layers up to it)."""
+        so_far = F.sum(F.log1p(-F.col("error"))).over(Window.partitionBy("shard").orderBy("layer"))
+        return self.layers().select("shard", "layer", F.col("n").alias("n_keys"), F.col("room").alias("capacity"), F.col("bits").alias("n_bits"), F.col("hashes").alias("n_hashes"), (F.col("ones") / F.col("bits")).alias("fill"), "error", (-F.expm1(so_far)).alias("compounded"))
 
 
 def first_probes(probes: DataFrame) -> DataFrame:
@@ -111,82 +243,72 @@ def first_probes(probes: DataFrame) -> DataFrame:
     return _known(probes).groupBy("keyspace_id", "key_value").agg(F.min("probe_id").alias("probe_id"))
 
 
-def chain_answers(versions: DataFrame, probes: DataFrame, shards: int | None = None, bound: float = ERROR_BOUND) -> DataFrame:
-    """For the first probe of each key: keyspace_id, key_value, probe_id, maybe_seen.
+def _skipped_tables(tables: DataFrame, keys: DataFrame) -> DataFrame:
+    """sstable_id of SSTables whose stored filter is whole and denies all the keys: no key's byte in it is set.
 
-    Keys are spread over shards by hash. In each shard one chain takes in the earlier keys, then
-    answers and takes in the probes in order of arrival; only the chain is held, never the keys.
-    ``maybe_seen`` false is certain; true is wrong for at most ``bound`` of the new keys.
+    Of the keys only their places in a filter matter, at most STORED per keyspace.
     """
-    ship_package(probes.sparkSession)
-    n = _shards(probes, shards)
-    old = _history(versions, n).select("shard", F.lit(0).alias("phase"), "h1", "h2", F.lit(None).cast("long").alias("probe_id"), F.lit(None).cast("long").alias("keyspace_id"), F.lit(None).cast("string").alias("key_value"))
-    new = first_probes(probes).select("*", *_hashes()).select(F.pmod("h1", F.lit(n)).cast("int").alias("shard"), F.lit(1).alias("phase"), "h1", "h2", "probe_id", "keyspace_id", "key_value")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = BloomChain(bound)
-        for b in batches:
-            seen = chain.see(_unsigned(b.column("h1")), _unsigned(b.column("h2")))
-            ask = pa.compute.equal(b.column("phase"), 1)
-            out = pa.RecordBatch.from_arrays([b.column("keyspace_id"), b.column("key_value"), b.column("probe_id"), pa.array(seen)], ["keyspace_id", "key_value", "probe_id", "maybe_seen"])
-            if (out := out.filter(ask)).num_rows:
-                yield out
-
-    rows = old.unionByName(new).repartitionById(n, F.col("shard")).sortWithinPartitions("phase", "probe_id", "h1", "h2")
-    return rows.mapInArrow(run, "keyspace_id long, key_value string, probe_id long, maybe_seen boolean")
-
-
-def _verified(versions: DataFrame, answers: DataFrame) -> DataFrame:
-    """The answers with ``seen``: what the chain is sure of stays, what it is not is joined exactly with the earlier keys."""
-    keys = _known(versions).select(F.col("keyspace_id").alias("_k"), F.col("key_value").alias("_v")).distinct().withColumn("_there", F.lit(True))
-    doubt = answers.where("maybe_seen")
-    met = doubt.join(keys, (doubt["keyspace_id"] == keys["_k"]) & (doubt["key_value"] == keys["_v"]), "left")
-    sure = answers.where(~F.col("maybe_seen")).withColumn("seen", F.lit(False))
-    return sure.unionByName(met.withColumn("seen", F.col("_there").isNotNull()).drop("_k", "_v", "_there"))
+    places = keys.groupBy("keyspace_id").agg(F.collect_set(F.pmod(F.crc32(F.col("key_value").cast("binary")), F.lit(STORED)).cast("int")).alias("_asked"))
+    ok = tables.join(stored_filter_state(tables).where("filter_state = 'ok'").select("sstable_id"), "sstable_id", "left_semi")
+    body = F.hex(F.substring("bloom_filter", HEAD + 1, STORED))
+    is_set = lambda p: F.substring(body, 2 * p + 2, F.lit(1)).isin(*"13579BDF")
+    met = ok.select("sstable_id", "keyspace_id", "bloom_filter").join(places, "keyspace_id", "left")
+    return met.where(F.col("_asked").isNull() | ~F.exists("_asked", is_set)).select("sstable_id").distinct()
 
 
-def seen_before(versions: DataFrame, probes: DataFrame, shards: int | None = None, bound: float = ERROR_BOUND) -> DataFrame:
-    """probe_id of every probe whose key occurred before: in ``versions`` or in a probe with a smaller id.
+def verified(answers: DataFrame, versions: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """The answers with ``seen``: what the chain is sure of stays, what it is not is looked up exactly among the earlier keys.
 
-    Exact. Null keys and null keyspaces are never seen. Of each key only the first probe can be new,
-    so all probes are seen but the first ones of new keys; those are taken out by their unique id,
-    and no task ever receives all probes of a frequent key.
+    Earlier keys that no doubtful probe asks for are left out where they are read: whole SSTables
+    whose stored filter denies all of these, if ``tables`` is given, and then single keys by a Bloom
+    filter of these, as long as it may be broadcast. So only about as many keys move as are asked for.
+    """
+    answers = checkpointed(answers, "p3-answers")
+    doubt = answers.where("maybe_seen")
+    rows = _known(versions).select("keyspace_id", "key_value", "sstable_id")
+    if tables is not None:
+        skip = checkpointed(_skipped_tables(tables, doubt), "p3-skipped")
+        if not skip.isEmpty():
+            rows = rows.join(skip, "sstable_id", "left_anti")
+    keys = ["keyspace_id", "key_value"]
+    n_blocks = bloom_blocks(doubt.count())
+    if filter_bytes(n_blocks) <= FILTER_BYTES:
+        rows = with_might_contain(rows.select(*keys), bloom_filter(doubt, keys, n_blocks), keys, n_blocks).where("maybe_parent")
+    there = rows.select(*keys).distinct().withColumn("_there", F.lit(True))
+    met = doubt.join(there, keys, "left").withColumn("seen", F.col("_there").isNotNull()).drop("_there")
+    return answers.where(~F.col("maybe_seen")).withColumn("seen", F.lit(False)).unionByName(met)
+
+
+def chain_of(versions: DataFrame, shards: int | None = None, bound: float = ERROR_BOUND) -> SeenKeys:
+    """A chain of its own over these versions, kept in the shared folder."""
+    spark = versions.sparkSession
+    chain = SeenKeys(spark, shared_path(spark, "p3"), shards, bound)
+    chain.take(versions)
+    return chain
+
+
+def seen_before(versions: DataFrame, probes: DataFrame, chain: SeenKeys | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """probe_id of every probe whose key occurred before: in ``versions``, or in a probe with a smaller id.
+
+    Exact. Null keys and null keyspaces are never seen. chain: one that has taken in the versions.
+    Of each key only the first probe can be new, so all probes are seen but the first ones of new
+    keys; those are taken out by their unique id, and no task ever receives all probes of a frequent key.
     """
-    new = _verified(versions, chain_answers(versions, probes, shards, bound)).where(~F.col("seen")).select("probe_id")
+    chain = chain or chain_of(versions)
+    new = verified(chain.ask(first_probes(probes)), versions, tables).where(~F.col("seen")).select("probe_id")
     return _known(probes).select("probe_id").join(new, "probe_id", "left_anti")
 
 
-def error_report(versions: DataFrame, probes: DataFrame, shards: int | None = None, bound: float = ERROR_BOUND) -> DataFrame:
+def error_report(versions: DataFrame, probes: DataFrame, chain: SeenKeys | None = None, tables: DataFrame | None = None) -> DataFrame:
     """One row: distinct keys asked, new ones, those wrongly called seen, the measured rate and the bound.
 
     The rate is null where no key was new.
     """
-    rows = _verified(versions, chain_answers(versions, probes, shards, bound))
+    chain = chain or chain_of(versions)
+    rows = verified(chain.ask(first_probes(probes)), versions, tables)
     wrong = F.coalesce(F.sum((F.col("maybe_seen") & ~F.col("seen")).cast("long")), F.lit(0))
     new = F.coalesce(F.sum((~F.col("seen")).cast("long")), F.lit(0))
-    return rows.agg(F.count(F.lit(1)).alias("n_keys"), new.alias("n_new"), wrong.alias("n_wrong"), (wrong / F.nullif(new, F.lit(0))).alias("wrong_rate")).withColumn("rate_bound", F.lit(bound))
-
-
-def chain_layers(versions: DataFrame, shards: int | None = None, bound: float = ERROR_BOUND) -> DataFrame:
-    """The layers of each shard's chain over the earlier keys: shard, layer, n_keys, capacity, n_bits, n_hashes, fill, error, compounded."""
-    ship_package(versions.sparkSession)
-    n = _shards(versions, shards)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, shard = BloomChain(bound), None
-        for b in batches:
-            if b.num_rows:
-                shard = b.column("shard")[0].as_py()
-                chain.see(_unsigned(b.column("h1")), _unsigned(b.column("h2")))
-        rows, sum_ = [], 1.0
-        for i, x in enumerate(chain.layers):
-            sum_ *= 1 - x["error"]
-            rows.append({"shard": shard, "layer": i, "n_keys": x["n"], "capacity": x["room"], "n_bits": x["bits"], "n_hashes": x["hashes"], "fill": float(np.bitwise_count(x["words"]).sum()) / x["bits"], "error": x["error"], "compounded": 1 - sum_})
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows)
-
-    rows = _history(versions, n).repartitionById(n, F.col("shard")).sortWithinPartitions("h1", "h2")
-    return rows.mapInArrow(run, "shard long, layer long, n_keys long, capacity long, n_bits long, n_hashes long, fill double, error double, compounded double")
+    return rows.agg(F.count(F.lit(1)).alias("n_keys"), new.alias("n_new"), wrong.alias("n_wrong"), (wrong / F.nullif(new, F.lit(0))).alias("wrong_rate")).withColumn("rate_bound", F.lit(chain.bound))
 
 
 #: Layout of a stored filter: checksum, length of the bitmap, bitmap; a key sets bit 0 of one byte of it.

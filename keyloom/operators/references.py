@@ -7,19 +7,25 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.operators.postings import merge_postings
+from keyloom.operators.balanced import looked_up
+from keyloom.operators.postings import default_tasks, merge_postings
+from keyloom.sources.shared import checkpointed
 
 #: A block of the filter: 512 words of 64 bits, 4 KiB.
 WORDS = 512
 #: Bits per parent key that are aimed at, and hash functions.
 BITS_PER_KEY, HASHES = 12, 4
-#: The filter never exceeds so many blocks (8 MiB), however many parents there are; with more
-#: parents it lets more references through to the exact join, and the result stays the same.
-MAX_BLOCKS = 2048
+#: A filter up to this size is broadcast; a larger one is split by block, and keys are sent to their blocks.
+FILTER_BYTES = 32 << 20
 
 
-def bloom_blocks(n_keys: int, max_blocks: int = MAX_BLOCKS) -> int:
-    return max(1, min(max_blocks, math.ceil(n_keys * BITS_PER_KEY / (WORDS * 64))))
+def bloom_blocks(n_keys: int) -> int:
+    """Blocks of a filter for so many distinct keys, however many they are."""
+    return max(1, math.ceil(n_keys * BITS_PER_KEY / (WORDS * 64)))
+
+
+def filter_bytes(n_blocks: int) -> int:
+    return n_blocks * WORDS * 8
 
 
 def _positions(keys: list[str]) -> tuple:
@@ -33,7 +39,7 @@ def bloom_filter(parents: DataFrame, keys: list[str], n_blocks: int) -> DataFram
     """A blocked Bloom filter of the key columns: one row per block, (block, words array<bigint>).
 
     Built by bitwise OR, so partial filters combine before the shuffle and repeated keys cost
-    nothing. At most n_blocks rows of 4 KiB.
+    nothing. n_blocks rows of 4 KiB.
     """
     spark = parents.sparkSession
     block, spots = _positions(keys)
@@ -44,13 +50,19 @@ def bloom_filter(parents: DataFrame, keys: list[str], n_blocks: int) -> DataFram
     return words.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
 
 
-def with_might_contain(df: DataFrame, bloom: DataFrame, keys: list[str], n_blocks: int) -> DataFrame:
-    """``df`` with maybe_parent: false proves that the filter's parents lack the key. The filter is broadcast: n_blocks * 4 KiB at most."""
+def with_might_contain(df: DataFrame, bloom: DataFrame, keys: list[str], n_blocks: int, most_bytes: int = FILTER_BYTES) -> DataFrame:
+    """``df`` with maybe_parent: false proves that the filter's parents lack the key.
+
+    The filter is broadcast as long as its n_blocks * 4 KiB stay within most_bytes. A larger one is
+    met by a shuffle on the block, where a heavy block is met in place; ``df`` should be a written
+    table then.
+    """
     block, spots = _positions(keys)
     df = df.withColumn("_block", F.pmod(block, F.lit(n_blocks)).cast("int")).withColumn("_spots", spots)
     hit = F.forall("_spots", lambda p: F.getbit(F.get("_words", F.shiftright(p, 6)), p.bitwiseAND(63)) == 1)
-    bloom = bloom.select(F.col("block").alias("_b"), F.col("words").alias("_words"))
-    return df.join(F.broadcast(bloom), df["_block"] == bloom["_b"], "left").withColumn("maybe_parent", F.coalesce(hit, F.lit(False))).drop("_block", "_spots", "_b", "_words")
+    bloom = bloom.select(F.col("block").alias("_block"), F.col("words").alias("_words"))
+    met = df.join(F.broadcast(bloom), "_block", "left") if filter_bytes(n_blocks) <= most_bytes else looked_up(df, bloom, ["_block"], default_tasks(df))
+    return met.withColumn("maybe_parent", F.coalesce(hit, F.lit(False))).drop("_block", "_spots", "_words")
 
 
 def known_indexes(schema: DataFrame) -> DataFrame:
@@ -59,18 +71,18 @@ def known_indexes(schema: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("secondary_index_keyspace_id").alias("index_id")).agg(F.min("keyspace_id").alias("table_id"), F.min("table_name").alias("table_name"))
 
 
-def screened(fragments: DataFrame, versions: DataFrame, schema: DataFrame, with_time: bool, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """Present postings of known indexes with table_id, table_name and maybe_parent."""
+def screened(fragments: DataFrame, versions: DataFrame, schema: DataFrame, with_time: bool, most_bytes: int = FILTER_BYTES) -> DataFrame:
+    """Present postings of known indexes with table_id, table_name and maybe_parent. The postings are merged once and written, as they are used several times."""
     index = known_indexes(schema)
     posts = merge_postings(fragments, with_time=with_time)
-    posts = posts.join(index, posts["keyspace_id"] == index["index_id"]).drop("index_id", "_task")
-    parents = versions.select(F.col("keyspace_id").alias("table_id"), F.col("key_value").alias("primary_key"))
-    n_blocks = bloom_blocks(versions.count(), max_blocks)
-    bloom = bloom_filter(parents.where("table_id IS NOT NULL AND primary_key IS NOT NULL"), ["table_id", "primary_key"], n_blocks)
-    return with_might_contain(posts, bloom, ["table_id", "primary_key"], n_blocks)
+    posts = checkpointed(posts.join(index, posts["keyspace_id"] == index["index_id"]).drop("index_id", "_task"), "p2-postings")
+    parents = versions.select(F.col("keyspace_id").alias("table_id"), F.col("key_value").alias("primary_key")).where("table_id IS NOT NULL AND primary_key IS NOT NULL")
+    n_blocks = bloom_blocks(math.ceil(1.05 * parents.agg(F.approx_count_distinct(F.xxhash64("table_id", "primary_key"), 0.02)).first()[0]))
+    bloom = bloom_filter(parents, ["table_id", "primary_key"], n_blocks)
+    return with_might_contain(posts, bloom, ["table_id", "primary_key"], n_blocks, most_bytes)
 
 
-def orphan_references(fragments: DataFrame, versions: DataFrame, schema: DataFrame, with_time: bool = False, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def orphan_references(fragments: DataFrame, versions: DataFrame, schema: DataFrame, with_time: bool = False, most_bytes: int = FILTER_BYTES) -> DataFrame:
     """Present postings without a row they could refer to, with orphan_kind.
 
     missing: the table has no version of the key. deleted: its newest version is a tombstone (also
@@ -80,17 +92,16 @@ def orphan_references(fragments: DataFrame, versions: DataFrame, schema: DataFra
 
     Postings that the Bloom filter rejects are missing for certain and take no part in the join; the
     others are joined exactly with one aggregated row per parent key, so that a key with many
-    versions is reduced before the shuffle.
+    versions is reduced before the shuffle, and one with many postings is met where they are.
     """
-    posts = screened(fragments, versions, schema, with_time, max_blocks)
+    posts = screened(fragments, versions, schema, with_time, most_bytes)
     keep = ["keyspace_id", "index_value", "primary_key", "table_name", *(["written_at"] if with_time else [])]
     sure = posts.where(~F.col("maybe_parent")).select(*keep, F.lit("missing").alias("orphan_kind"))
     dead = F.coalesce(F.col("is_tombstone"), F.lit(False))
-    state = versions.groupBy(F.col("keyspace_id").alias("_k"), F.col("key_value").alias("_v")).agg(
+    state = versions.groupBy(F.col("keyspace_id").alias("table_id"), F.col("key_value").alias("primary_key")).agg(
         F.max(F.when(~dead, F.col("txn_id"))).alias("_live"), F.max(F.when(dead, F.col("txn_id"))).alias("_dead"), F.min("txn_id").alias("_first"), F.lit(True).alias("_there")
     )
-    open_ = posts.where("maybe_parent")
-    met = open_.join(state, (open_["table_id"] == state["_k"]) & (open_["primary_key"] == state["_v"]), "left")
+    met = looked_up(posts.where("maybe_parent"), state, ["table_id", "primary_key"], default_tasks(fragments))
     kind = (
         F.when(F.col("_there").isNull(), "missing")
         .when(F.col("_dead").isNotNull() & (F.col("_live").isNull() | (F.col("_dead") >= F.col("_live"))), "deleted")
@@ -109,7 +120,7 @@ def orphan_report(fragments: DataFrame, versions: DataFrame, schema: DataFrame)
 def filter_report(fragments: DataFrame, versions: DataFrame, schema: DataFrame) -> DataFrame:
     """One row: postings, those proven orphans by the filter, those left to the exact join, and how many of these the filter let through wrongly."""
     posts = screened(fragments, versions, schema, False)
-    keys = versions.select(F.col("keyspace_id").alias("_k"), F.col("key_value").alias("_v")).distinct().withColumn("_there", F.lit(True))
-    met = posts.join(keys, (posts["table_id"] == keys["_k"]) & (posts["primary_key"] == keys["_v"]), "left")
+    keys = versions.select(F.col("keyspace_id").alias("table_id"), F.col("key_value").alias("primary_key")).distinct().withColumn("_there", F.lit(True))
+    met = looked_up(posts, keys, ["table_id", "primary_key"], default_tasks(fragments))
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return met.agg(F.count(F.lit(1)).alias("n_postings"), n(~F.col("maybe_parent")).alias("n_proven"), n(F.col("maybe_parent")).alias("n_verified"), n(F.col("maybe_parent") & F.col("_there").isNull()).alias("n_let_through"))

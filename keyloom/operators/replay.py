@@ -92,7 +92,7 @@ def hot_keys(rows: DataFrame, tasks: int) -> list[tuple[int, int, int]]:
         loads.unpersist()
 
 
-def replay(changes: DataFrame, tasks: int | None = None, hot: list[tuple[int, int, int]] | None = None) -> DataFrame:
+def replay(changes: DataFrame, tasks: int | None = None, hot: list[tuple[int, int, int]] | None = None, keep_deletes: bool = False) -> DataFrame:
     """The filled cells of the current rows: keyspace_id, key_value, column_id, txn_id, seq of the change that wrote each.
 
     changes: keyspace_id, key_value, txn_id, seq, column_id (DELETE deletes the key). Rows are
@@ -104,7 +104,8 @@ def replay(changes: DataFrame, tasks: int | None = None, hot: list[tuple[int, in
     state, which is again a few changes; the parts' states then replay like the changes of any other
     key. So no task gets all changes of a hot key. hot: these keys, if they are known already; which
     they are decides where work is done and not the result. Of a deleting and a setting change with the same
-    version the setting one counts.
+    version the setting one counts. keep_deletes: the last delete of each key stays as a row of
+    column DELETE, so that the result can be replayed together with further changes, older or newer.
     """
     spark = changes.sparkSession
     ship_package(spark)
@@ -121,7 +122,7 @@ def replay(changes: DataFrame, tasks: int | None = None, hot: list[tuple[int, in
         states = cut.select(*columns, "_part").repartition(tasks, *KEY, "_part").sortWithinPartitions("_part", *KEY, *VERSION, "column_id")
         states = states.mapInPandas(_part_replayer, CELLS + ", _part long").select(*columns)
         changes = changes.join(plan, is_hot, "left_anti").unionByName(states)
-    return _ordered(changes, tasks).mapInPandas(_replayer(False), CELLS)
+    return _ordered(changes, tasks).mapInPandas(_replayer(keep_deletes), CELLS)
 
 
 def _part_replayer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,25 +13,19 @@ from keyloom.plans import ast as A
 from keyloom.plans.expressions import casted, column
 
 
-def matching(spark: SparkSession, table: TableInfo, txn: Transaction | None, where: A.Expr | None, read: list[str]) -> DataFrame:
-    """Rows that a predicate selects, with at least the columns in ``read``.
+def matching(spark: SparkSession, table: TableInfo, txn: Transaction | None, where: A.Expr | None) -> DataFrame:
+    """Rows that a predicate selects.
 
-    Spark takes predicates on the primary key to the files by itself. A path through an index reads
-    the rows of the keys that the index proposes, or the index alone where that is enough.
+    Spark takes predicates on the primary key to the files by itself. Where a path leads through an
+    index, the rows that were not changed come from the index.
     """
-    path = P.path_of(where, table)
-    rows = indexes.covering(spark, table, path, read)
-    if rows is None:
-        rows = versions.snapshot(spark, table, txn)
-        keys = indexes.candidates(spark, table, path, rows)
-        if keys is not None:
-            rows = rows.join(keys, table.primary, "left_semi")
+    rows = versions.snapshot(spark, table, txn, indexes.read_through(spark, table, P.path_of(where, table)))
     return rows if where is None else rows.where(column(where, table.types))
 
 
 def select(spark: SparkSession, table: TableInfo, txn: Transaction | None, s: A.Select) -> DataFrame:
     """Rows in the order of the sort column, nulls first ascending and last descending, ties by key; without a sort, by key where a limit needs an order."""
-    rows = matching(spark, table, txn, s.where, P.scanned(s, table))
+    rows = matching(spark, table, txn, s.where)
     key = F.col(f"`{table.primary}`")
     if s.sort:
         by = F.col(f"`{s.sort.column}`")
@@ -45,11 +39,11 @@ def select(spark: SparkSession, table: TableInfo, txn: Transaction | None, s: A.
 
 def update(spark: SparkSession, table: TableInfo, txn: Transaction, s: A.Update) -> DataFrame:
     """Key and new values of the matching rows; a null value leaves its column as it is."""
-    rows = matching(spark, table, txn, s.where, list(table.types))
+    rows = matching(spark, table, txn, s.where)
     return rows.select(F.col(f"`{table.primary}`"), *[casted(e, table.types, table.types[c]).alias(c) for c, e in s.sets])
 
 
 def delete(spark: SparkSession, table: TableInfo, txn: Transaction, s: A.Delete) -> DataFrame:
     """Keys of the matching rows, the first ones by key if there is a limit."""
-    rows = matching(spark, table, txn, s.where, [table.primary, *A.names(s.where)]).select(F.col(f"`{table.primary}`"))
+    rows = matching(spark, table, txn, s.where).select(F.col(f"`{table.primary}`"))
     return rows.orderBy(table.primary).limit(s.limit) if s.limit is not None else rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keyloom.operators import incremental, membership, postings, references, replay, wide
 from keyloom.sources.shared import shared_path
@@ -36,16 +37,36 @@ def p2_filter(spark: SparkSession, d: str) -> DataFrame:
     return references.filter_report(*_p2(spark, d))
 
 
+def _p3(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return t(spark, d, "key_version"), t(spark, d, "key_probe")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return membership.seen_before(t(spark, d, "key_version"), t(spark, d, "key_probe"))
+    return membership.seen_before(*_p3(spark, d), tables=t(spark, d, "sstable"))
+
+
+def p3_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_found, by a chain that took in the older half of the SSTables in one run and, opened again, the others in another."""
+    versions, probes = _p3(spark, d)
+    tables, path = t(spark, d, "sstable"), shared_path(spark, "p3")
+    half = tables.agg(F.percentile_approx("created_at", 0.5)).first()[0]
+    membership.SeenKeys(spark, path).take(versions, tables.where(F.col("created_at") <= half))
+    chain = membership.SeenKeys(spark, path)
+    chain.take(versions)
+    return membership.seen_before(versions, probes, chain, tables)
 
 
 def p3_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    return membership.error_report(t(spark, d, "key_version"), t(spark, d, "key_probe"))
+    return membership.error_report(*_p3(spark, d), tables=t(spark, d, "sstable"))
+
+
+def p3_asked(spark: SparkSession, d: str) -> DataFrame:
+    """Of p3_error_rate what does not depend on hash functions."""
+    return p3_error_rate(spark, d).select("n_keys", "n_new")
 
 
 def p3_chain_layers(spark: SparkSession, d: str) -> DataFrame:
-    return membership.chain_layers(t(spark, d, "key_version"))
+    return membership.chain_of(t(spark, d, "key_version")).report()
 
 
 def p3_stored_filters(spark: SparkSession, d: str) -> DataFrame:
@@ -68,13 +89,28 @@ def p5_rows(spark: SparkSession, d: str) -> DataFrame:
     return replay.current_rows(t(spark, d, "wal_entry"), t(spark, d, "txn_log"))
 
 
+#: Micro-batches of p5_streamed.
+SLICES = 5
+
+
 def p5_streamed(spark: SparkSession, d: str) -> DataFrame:
-    """The cells of p5_found with the feed taken in as a stream of files."""
-    feed = spark.readStream.schema(t(spark, d, "wal_entry").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/wal_entry.parquet*")
-    state = StreamedFeed(spark, shared_path(spark, "p5"))
-    kept = feed.join(replay.committed(t(spark, d, "txn_log")), "txn_id", "left_semi")
-    state.write(kept, shared_path(spark, "p5-checkpoint")).awaitTermination()
-    return state.read()
+    """The cells of p5_found with the feed taken in as a stream, in slices of its order of arrival.
+
+    Each slice is a file and a micro-batch, which sees of the transaction log what was logged when its
+    last change arrived; commits of most transactions come later. The last batch sees the whole log.
+    """
+    feed, log = t(spark, d, "wal_entry"), t(spark, d, "txn_log")
+    at = [F.col("arrived_at").cast("double"), F.lit(0.0)]
+    cuts = feed.agg(F.percentile_approx(at[0], [i / SLICES for i in range(1, SLICES)])).first()[0] or []
+    state, place, checkpoint = StreamedFeed(spark, shared_path(spark, "p5"), merge_every=2), shared_path(spark, "p5-in"), shared_path(spark, "p5-checkpoint")
+    place_in = F.coalesce(*at)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        inside = (F.lit(True) if low is None else place_in > low) & (F.lit(True) if high is None else place_in <= high)
+        feed.where(inside).write.mode("append").parquet(place)
+        logged = log if high is None else log.where(F.col("logged_at").cast("double") <= high)
+        stream = spark.readStream.schema(feed.schema).parquet(place)
+        state.write(stream, checkpoint, lambda logged=logged: logged).awaitTermination()
+    return state.read(log)
 
 
 def _p6_runs(spark: SparkSession, d: str) -> tuple[incremental.IncrementalPending, list[incremental.Run]]:
@@ -104,7 +140,7 @@ TABLES = {1: "personas", 2: "cuentas", 3: "pagos", 4: "articulos", 5: "accesos",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_value_sizes, p2_found, p2_report, p2_filter, p3_found, p3_error_rate, p3_chain_layers, p3_stored_filters, p4_found, p5_found, p5_rows, p5_streamed, p6_found, p6_replaced, p6_flushes]
+    named = [p1_found, p1_value_sizes, p2_found, p2_report, p2_filter, p3_found, p3_resumed, p3_error_rate, p3_asked, p3_chain_layers, p3_stored_filters, p4_found, p5_found, p5_rows, p5_streamed, p6_found, p6_replaced, p6_flushes]
     return {f.__name__: f for f in named} | {f"p4_{name}": _p4_wide(k) for k, name in TABLES.items()}
 
 
@@ -184,6 +220,10 @@ cells AS (
   GROUP BY s.keyspace_id, s.key_value, name::int)"""
 
 
+SEEN = """WITH first AS (SELECT keyspace_id, key_value, min(probe_id) AS first_id FROM key_probe WHERE key_value IS NOT NULL GROUP BY ALL)
+    SELECT probe_id FROM key_probe p JOIN first f ON p.keyspace_id = f.keyspace_id AND p.key_value = f.key_value
+    WHERE probe_id > first_id OR EXISTS (SELECT 1 FROM key_version v WHERE v.keyspace_id = p.keyspace_id AND v.key_value = p.key_value)"""
+
 FLUSHES = """
 done AS (SELECT keyspace_id, completed_operation_id AS id, min(written_at) AS at FROM manifest_operation WHERE operation_content = 'Completed' GROUP BY ALL),
 flushes AS (SELECT DISTINCT m.keyspace_id, m.manifest_operation_id AS id, m.sstable_id, d.at FROM manifest_operation m JOIN done d ON m.keyspace_id = d.keyspace_id AND m.manifest_operation_id = d.id WHERE operation_content = 'MemtableFlush'),
@@ -204,9 +244,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT table_name, date_trunc('week', written_at)::date AS week, orphan_kind, count(*) AS n_orphans
             FROM orphans o JOIN times t ON o.keyspace_id = t.keyspace_id AND o.index_value IS NOT DISTINCT FROM t.index_value AND o.primary_key = t.primary_key AND o.txn_id = t.txn_id
             WHERE orphan_kind IS NOT NULL GROUP BY ALL""",
-        "p3_found": """WITH first AS (SELECT keyspace_id, key_value, min(probe_id) AS first_id FROM key_probe WHERE key_value IS NOT NULL GROUP BY ALL)
-            SELECT probe_id FROM key_probe p JOIN first f ON p.keyspace_id = f.keyspace_id AND p.key_value = f.key_value
-            WHERE probe_id > first_id OR EXISTS (SELECT 1 FROM key_version v WHERE v.keyspace_id = p.keyspace_id AND v.key_value = p.key_value)""",
+        "p3_found": SEEN,
+        "p3_resumed": SEEN,
+        "p3_asked": """SELECT count(*) AS n_keys, count(*) FILTER (NOT EXISTS (SELECT 1 FROM key_version v WHERE v.keyspace_id = p.keyspace_id AND v.key_value = p.key_value)) AS n_new
+            FROM (SELECT DISTINCT keyspace_id, key_value FROM key_probe WHERE keyspace_id IS NOT NULL AND key_value IS NOT NULL) p""",
         "p4_found": f"WITH {CELLS} SELECT keyspace_id, entity AS primary_column_value, column_id, record_id FROM cells",
         "p5_found": f"WITH {FEED} SELECT keyspace_id, key_value, column_id, w.t AS txn_id, w.s AS seq FROM cells",
         "p5_streamed": f"WITH {FEED} SELECT keyspace_id, key_value, column_id, w.t AS txn_id, w.s AS seq FROM cells",
