@@ -198,6 +198,8 @@ class SeenKeys:
             rows = rows.join(new, F.col("sstable_id").eqNullSafe(F.col("_s")), "left_semi")
         keys = rows.select(*_hashes()).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).select("h1", "h2")
         bound = self.bound
+        kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
+        schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in (LAYER + ", is_full boolean").split(", "))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = 0
@@ -210,7 +212,7 @@ class SeenKeys:
                     continue
                 out = [{"shard": shard, "layer": i, **{k: x[k] for k in FACTS}, "ones": int(np.bitwise_count(x["words"]).sum()), "words": x["words"].tobytes(), "is_full": x["n"] == x["room"]} for i, x in enumerate(chain.layers) if i >= full]
                 if out:
-                    yield pa.RecordBatch.from_pylist(out)
+                    yield pa.RecordBatch.from_pylist(out, schema)
 
         # The first piece of a shard finds its chain as it was kept, so what was full then is known and not written again.
         self._with_layers(keys).mapInArrow(run, LAYER + ", is_full boolean").write.mode("overwrite").partitionBy("is_full").parquet(f"{to}/layers")
