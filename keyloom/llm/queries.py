@@ -43,8 +43,12 @@ def p9_functions(spark: SparkSession, d: str) -> DataFrame:
     return subjects.function_report(*_p9(spark, d))
 
 
+def p9_associations(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.association_report(*_p9(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_composition, p9_functions)}
+    return {f.__name__: f for f in (p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_composition, p9_functions, p9_associations)}
 
 
 def oracle_sql() -> dict[str, str]:

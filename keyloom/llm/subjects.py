@@ -1,19 +1,29 @@
 """Subjects of documents: labelling functions, a latent model that learns how far each can be trusted, posteriors.
 
 Hand-labelled documents teach what words, addresses, sources and series go with which subject.
-Labelling functions then vote on every pair of document and subject; a latent-class model is fitted
-to how often each pattern of votes occurs, over all documents, and gives each pattern a posterior.
+Labelling functions then vote on every pair of sentence and subject, each by evidence of its own:
+
+* lexicon and terms by the sentence's words, each by one half of the vocabulary, so that no word speaks in both;
+* section by the other sentences of its section;
+* address by the sites in the document's adverts, and source by its source and series, where labelled documents
+  show that these go with a subject more, or less, than chance would have it.
+
+A latent-class model is fitted to how often each pattern of votes occurs, over all documents, and
+gives each pattern a posterior; a document has the subjects of a quarter of its sentences.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import folding
@@ -32,14 +42,17 @@ ROUNDS, LABEL_WEIGHT = 12, 6.0
 PLAIN, PLAIN_NONE = 0.4, 0.92
 #: Words rarer than this in the fitted documents are not used.
 LEAST_WORD = 3
-#: Log ratio to the next likely subject, or to none, that makes a word a strong sign of one subject.
-STRONG = 2.0
-#: Share of a document's sections led by a subject that speaks for it; only none at all speaks against it.
-SECTIONS_FOR = 0.5
-#: An address or source speaks for a subject if its share is this many times the usual, over at least so many labelled documents.
-LIFT, SUPPORT = 2.5, 8
-#: The labelling functions, in the order of a pattern's digits; a vote is 0 (against), 1 (none) or 2 (for).
-FUNCTIONS = ["lexicon", "terms", "section", "address", "source"]
+#: Levels of a vote by words: log ratios of a subject to the likeliest other, or to none.
+WORD_CUTS = (-4.0, -2.0, -0.5, 0.5, 2.0, 4.0)
+#: Levels of a vote by section: share of its other sentences whose words are strong for the subject.
+SECTION_CUTS = (1e-9, 0.2, 0.5)
+#: An address or source votes on a subject if it goes with it so many standard deviations more or less often than usual, over at least so many labelled documents.
+DEVIATIONS, SUPPORT = 3.5, 8
+#: The labelling functions and the number of levels of their votes, from against to for.
+FUNCTIONS = {"lexicon": len(WORD_CUTS) + 1, "terms": len(WORD_CUTS) + 1, "section": len(SECTION_CUTS) + 1, "address": 3, "source": 3}
+#: Weight of each function's level in a pattern's code, and the number of codes.
+PLACES = [math.prod(list(FUNCTIONS.values())[:i]) for i in range(len(FUNCTIONS))]
+CODES = math.prod(FUNCTIONS.values())
 
 #: Three-letter language codes and their two-letter ones.
 LANGUAGES = {"eng": "en", "spa": "es", "ger": "de", "deu": "de", "fre": "fr", "fra": "fr", "ita": "it", "por": "pt", "dut": "nl", "nld": "nl"}
@@ -99,6 +112,8 @@ class WordModel:
         self.vocabulary = {w: i for i, (w, n) in enumerate(sorted(seen.items())) if n >= LEAST_WORD and w != b"\x03"}
         self.vocabulary = {w: i for i, w in enumerate(self.vocabulary)}
         self.rare = len(self.vocabulary)
+        #: Which half of the vocabulary a word is in: the lexicon's or the terms'.
+        self.half = np.array([zlib.crc32(w) & 1 for w in self.vocabulary] + [0], np.int8)
         tags = [language(t) for _, _, t in labelled]
         usual = Counter(t for t in tags if len(t) == 2)
         self.languages = [t for t, n in sorted(usual.items()) if n >= max(2, 0.01 * len(labelled))] or [""]
@@ -166,54 +181,29 @@ class WordModel:
             mix = mix / mix.sum(1, keepdims=True)
         return logs.astype(np.float32)
 
-    def shares(self, docs: list[list[list[bytes]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per document: number of sentences, and for each subject the share of sentences about it, of sentences with most strong words of it, and of sections led by it."""
+    def votes(self, docs: list[list[list[bytes]]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Document of each sentence; and the levels of lexicon, terms and section for each sentence and subject."""
         n, topics = len(docs), len(self.subjects) + 1
         sent, word, doc = self._flat(docs)
-        count = np.bincount(doc, minlength=n)
-        zero = np.zeros((n, topics - 1))
         if not len(sent):
-            return count, zero, zero, zero
+            return doc, [np.zeros((0, topics - 1), np.int64)] * 3
         spoken_in = self.tell_languages(sent, word, doc, n)
         rows = self.by_topic[spoken_in[doc[sent]], word]
-        score = np.stack([np.bincount(sent, rows[:, y], len(doc)) for y in range(topics)], axis=1)
-        mix = np.full((n, topics), 1 / topics)
-        for _ in range(3):  # a document's other sentences help with the unclear ones
-            post = score + np.log(mix[doc])
-            post = np.exp(post - post.max(1, keepdims=True))
-            post /= post.sum(1, keepdims=True)
-            mix = np.full((n, topics), 0.1)
-            np.add.at(mix, doc, post)
-            mix /= mix.sum(1, keepdims=True)
-        top = post.argmax(1)
-        each = np.bincount(doc * topics + top, minlength=n * topics).reshape(n, topics)
-        share = each[:, 1:] / np.maximum(1, count)[:, None]
-        ordered = np.partition(rows, topics - 2, axis=1)
-        best = rows.argmax(1) - 1
-        is_strong = (ordered[:, -1] - ordered[:, -2] > STRONG) & (best >= 0) & (word < self.rare)
-        signs = np.bincount(sent[is_strong] * (topics - 1) + best[is_strong], minlength=len(doc) * (topics - 1)).reshape(len(doc), topics - 1)
-        shown = np.nonzero(signs.max(1))[0]
-        by_sign = np.bincount(doc[shown] * (topics - 1) + signs[shown].argmax(1), minlength=n * (topics - 1)).reshape(n, topics - 1)
-        terms = by_sign / np.maximum(1, count)[:, None]
-        begins = np.zeros(len(doc), np.int64)
-        k = 0
-        for d in docs:
-            for s in d:
-                begins[k] = b"\x03" in s
-                k += 1
-        first = np.concatenate([[1], (np.diff(doc) != 0).astype(np.int64)])
-        section = np.cumsum(np.maximum(first, np.concatenate([[0], begins[:-1]]))) - 1
-        led = np.bincount(section * topics + top, minlength=(section[-1] + 1) * topics).reshape(-1, topics)
-        of = doc[np.unique(section, return_index=True)[1]]
-        leader = led.argmax(1)
-        sections = np.bincount(of * topics + leader, minlength=n * topics).reshape(n, topics)
-        return count, share, terms, sections[:, 1:] / np.maximum(1, sections.sum(1))[:, None]
-
-
-def cast_by_speech(share: np.ndarray, terms: np.ndarray, section: np.ndarray) -> list[np.ndarray]:
-    """Votes of the lexicon, the terms and the sections."""
-    yes = lambda x: np.where(x >= SHARE, 2, 0)
-    return [yes(share), yes(terms), np.where(section >= SECTIONS_FOR, 2, np.where(section > 0, 1, 0))]
+        levels = []
+        for half in (0, 1):
+            mine = self.half[word] == half
+            score = np.stack([np.bincount(sent[mine], rows[mine, y], len(doc)) for y in range(topics)], axis=1)
+            top = np.partition(score, topics - 2, axis=1)
+            best, second = top[:, -1:], top[:, -2:-1]
+            levels.append(np.digitize(np.where(score == best, score - second, score - best)[:, 1:], WORD_CUTS))
+        begins = np.fromiter((b"\x03" in s for d in docs for s in d), bool, len(doc))
+        first = np.concatenate([[True], np.diff(doc) != 0])
+        section = np.cumsum(first | np.concatenate([[False], begins[:-1]])) - 1
+        strong = np.maximum(*levels) == len(WORD_CUTS)
+        size = np.bincount(section)
+        led = np.stack([np.bincount(section, strong[:, y], len(size)) for y in range(topics - 1)], axis=1)
+        others = (led[section] - strong) / np.maximum(1, size[section] - 1)[:, None]
+        return doc, [*levels, np.digitize(others, SECTION_CUTS)]
 
 
 def sites(text: str) -> set[str]:
@@ -222,7 +212,11 @@ def sites(text: str) -> set[str]:
 
 
 class Associations:
-    """What an address, a source or a series says of a document, from the labelled documents that have it."""
+    """What an address, a source or a series says of a document, from the labelled documents that have it.
+
+    deviations: of each name and subject, how many standard deviations more often than usual they
+    go together; only those beyond DEVIATIONS vote, so that names which say nothing stay silent.
+    """
 
     def __init__(self, labelled: list[tuple[list[str], set[str]]], subjects: list[str]) -> None:
         total, by = Counter(), defaultdict(Counter)
@@ -233,13 +227,9 @@ class Associations:
                 n_of[x] += 1
                 by[x].update(labels)
         usual = np.array([(total[s] + 1) / (len(labelled) + len(subjects)) for s in subjects])
-        self.votes: dict[str, np.ndarray] = {}
-        for x, n in n_of.items():
-            if n >= SUPPORT:
-                share = (np.array([by[x][s] for s in subjects]) + SUPPORT * usual) / (n + SUPPORT)
-                vote = np.where(share > LIFT * usual, 2, np.where(share < usual / LIFT, 0, 1))
-                if (vote != 1).any():
-                    self.votes[x] = vote
+        self.deviations = {x: (np.array([by[x][s] for s in subjects]) - n * usual) / np.sqrt(n * usual * (1 - usual)) for x, n in n_of.items() if n >= SUPPORT}
+        votes = {x: np.where(z > DEVIATIONS, 2, np.where(z < -DEVIATIONS, 0, 1)) for x, z in self.deviations.items()}
+        self.votes = {x: v for x, v in votes.items() if (v != 1).any()}
 
     def vote(self, names: list[str], n_subjects: int) -> np.ndarray:
         """For where any of the names speaks for a subject, else against where any speaks against it."""
@@ -275,10 +265,14 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> tuple[W
 
 
 def votes(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
-    """doc_id, n_sentences, patterns: for each subject the votes of FUNCTIONS as a number in base 3. Texts without a spoken sentence are left out."""
+    """doc_id, subject (its number), n_sentences, codes and counts: which patterns of votes the document's sentences have for the subject, and how many each.
+
+    A code is the sum of the functions' levels times PLACES. Texts without a spoken sentence are left out.
+    """
     ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, subjects))
     n = len(subjects)
+    schema = pa.schema([("doc_id", pa.int64()), ("subject", pa.int32()), ("n_sentences", pa.int32()), ("codes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, addresses, origins = shared.value
@@ -286,78 +280,96 @@ def votes(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataF
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 texts = b.column("text").to_pylist()
-                count, share, terms, section = words.shares([sentences(spoken(x)) for x in texts])
-                ask = cast_by_speech(share, terms, section)
-                ask.append(np.stack([addresses.vote(sorted(sites(x)), n) if addresses.votes else np.ones(n, np.int64) for x in texts]))
-                ask.append(np.stack([origins.vote(_origin(*x), n) for x in zip(b.column("source").to_pylist(), b.column("series").to_pylist(), strict=True)]))
-                code = sum(v * 3**i for i, v in enumerate(ask))
-                out = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count, pa.int32()), pa.array(list(code.astype(np.int32)), pa.list_(pa.int32()))], ["doc_id", "n_sentences", "patterns"])
-                yield out.filter(pa.array(count > 0))
+                doc, levels = words.votes([sentences(spoken(x)) for x in texts])
+                if not len(doc):
+                    continue
+                said = np.stack([addresses.vote(sorted(sites(x)), n) if addresses.votes else np.ones(n, np.int64) for x in texts])
+                from_ = np.stack([origins.vote(_origin(*x), n) if origins.votes else np.ones(n, np.int64) for x in zip(b.column("source").to_pylist(), b.column("series").to_pylist(), strict=True)])
+                code = sum(v * p for v, p in zip([*levels, said[doc], from_[doc]], PLACES, strict=True))
+                keys, counts = np.unique(((doc[:, None] * n + np.arange(n)) * CODES + code).ravel(), return_counts=True)
+                pair = keys // CODES
+                starts = np.nonzero(np.diff(pair, prepend=-1))[0]
+                offsets = pa.array(np.append(starts, len(keys)).astype(np.int32))
+                pair = pair[starts]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (keys % CODES, counts)]
+                ids = b.column("doc_id").take(pa.array(pair // n))
+                yield pa.RecordBatch.from_arrays([ids, pa.array((pair % n).astype(np.int32)), pa.array(np.bincount(doc, minlength=b.num_rows)[pair // n].astype(np.int32)), *lists], schema=schema)
 
     rows = documents.select("doc_id", "text", "source", "series").where("text IS NOT NULL AND text != ''")
-    return spread(rows).mapInArrow(run, "doc_id long, n_sentences int, patterns array<int>")
+    return spread(rows).mapInArrow(run, "doc_id long, subject int, n_sentences int, codes array<int>, counts array<int>")
 
 
 class LatentModel:
     """How far each labelling function can be trusted, learnt without true labels from how often patterns of votes occur.
 
-    Two classes, has the subject or not; given the class the functions vote independently, each with
-    its own chances of a vote for, against or none. ``posterior`` gives P(has | pattern).
+    Two classes, about the subject or not; given the class the functions vote independently, each with
+    its own chances of every level. ``posterior`` gives P(about | pattern). names: the functions that
+    are used, the others being left out. It starts from the number of functions that are fully for.
     """
 
-    def __init__(self, patterns: dict[int, int], rounds: int = 50) -> None:
-        m = len(FUNCTIONS)
+    def __init__(self, patterns: dict[int, int], names: list[str] | None = None, rounds: int = 60) -> None:
+        self.names = names or list(FUNCTIONS)
+        used = [j for j, f in enumerate(FUNCTIONS) if f in self.names]
+        levels = [list(FUNCTIONS.values())[j] for j in used]
         codes = np.array(sorted(patterns), np.int64)
         weight = np.array([patterns[int(c)] for c in codes], float)
-        cast = (codes[:, None] // 3 ** np.arange(m)) % 3
-        has = np.clip((cast[:, 0] == 2) * 0.8 + 0.1, 0, 1).astype(float)
-        self.prior, self.chances = 0.5, np.full((2, m, 3), 1 / 3)
+        cast = np.stack([codes // PLACES[j] % k for j, k in zip(used, levels, strict=True)], axis=1)
+        has = np.clip((cast == np.array(levels) - 1).sum(1) / 2, 0.02, 0.98)
+        self.prior, self.chances = 0.5, [np.full((2, k), 1 / k) for k in levels]
         for _ in range(rounds if len(codes) else 0):
             for k, w in enumerate((weight * (1 - has), weight * has)):
-                for j in range(m):
-                    c = np.bincount(cast[:, j], w, 3) + 0.1
-                    self.chances[k, j] = c / c.sum()
+                for j, c in enumerate(self.chances):
+                    seen = np.bincount(cast[:, j], w, c.shape[1]) + 0.1
+                    c[k] = seen / seen.sum()
             self.prior = min(0.999, max(0.001, (weight * has).sum() / weight.sum()))
-            has = self._posterior(cast)
+            odds = np.log(self.prior) - np.log(1 - self.prior) + sum(np.log(c[1, cast[:, j]]) - np.log(c[0, cast[:, j]]) for j, c in enumerate(self.chances))
+            has = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         self.posterior = dict(zip(codes.tolist(), has.tolist(), strict=True))
 
-    def _posterior(self, cast: np.ndarray) -> np.ndarray:
-        j = np.arange(cast.shape[1])
-        odds = np.log(self.prior) - np.log(1 - self.prior) + (np.log(self.chances[1, j, cast]) - np.log(self.chances[0, j, cast])).sum(1)
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-
 
 def _subjects(subject_list: DataFrame) -> list[str]:
     """The subjects in order of their ids: a list of a few names."""
     return [r[0] for r in subject_list.where("subject IS NOT NULL").groupBy("subject").agg(F.min("subject_id").alias("i")).orderBy("i", "subject").collect()]
 
 
-def _modelled(documents: DataFrame, labels: DataFrame, subject_list: DataFrame) -> tuple[list[str], DataFrame | None, LatentModel]:
+def _modelled(documents: DataFrame, labels: DataFrame, subject_list: DataFrame) -> tuple[list[str], DataFrame | None, dict[int, int]]:
+    """The subjects, the votes on all documents, and how often each pattern occurs in them."""
     subjects = _subjects(subject_list)
     if not subjects:
-        return subjects, None, LatentModel({})
+        return subjects, None, {}
     cast = checkpointed(votes(documents, labels, subjects), "votes")
-    # At most 3 ** len(FUNCTIONS) patterns, counted over all documents.
-    counts = cast.select(F.explode("patterns").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
-    return subjects, cast, LatentModel({r.p: r.n for r in counts})
+    # At most CODES patterns, counted over all documents.
+    each = cast.select(F.inline(F.arrays_zip(F.col("codes").alias("p"), F.col("counts").alias("n"))))
+    return subjects, cast, {r.p: r.n for r in each.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+
+
+def _sum_by(model: LatentModel, value: Callable[[float], float]) -> Column:
+    """Of a row of votes: the sum over its sentences of a value of their posteriors."""
+    table = [value(model.posterior.get(c, 0.0)) for c in range(CODES)]
+    each = F.from_json(F.lit(json.dumps(table)), "array<double>")
+    return F.aggregate(F.zip_with("codes", "counts", lambda c, n: F.get(each, c) * n), F.lit(0.0), lambda a, x: a + x)
+
+
+def _share(model: LatentModel) -> Column:
+    """Share of the sentences whose posterior is at least one half."""
+    return _sum_by(model, lambda x: float(x >= 0.5)) / F.col("n_sentences")
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, subject_list: DataFrame) -> DataFrame:
-    """doc_id, subject, posterior: the subjects whose posterior is at least one half.
+    """doc_id, subject, share, posterior: the subjects that at least SHARE of the document's sentences are about, by their posteriors; and the mean posterior of these sentences.
 
     Null and empty texts, and those without a spoken sentence, get none. Without any labels no word
     speaks for a subject, and no document gets one. All documents are voted on in one pass without a
-    shuffle; the votes, a few bytes a document, are kept in the shared folder between the two uses.
+    shuffle; the votes, some hundred bytes a document, are kept in the shared folder between the two uses.
     """
-    subjects, cast, model = _modelled(documents, labels, subject_list)
-    spark = documents.sparkSession
-    rows = [(p, float(x)) for p, x in model.posterior.items() if x >= 0.5]
-    if not rows or not subjects:
-        return spark.createDataFrame([], "doc_id long, subject string, posterior double")
-    chances = F.broadcast(spark.createDataFrame(rows, "pattern int, posterior double"))
+    subjects, cast, patterns = _modelled(documents, labels, subject_list)
+    model = LatentModel(patterns)
+    if not any(x >= 0.5 for x in model.posterior.values()):
+        return documents.sparkSession.createDataFrame([], "doc_id long, subject string, share double, posterior double")
     names = F.array(*[F.lit(s) for s in subjects])
-    each = cast.select("doc_id", F.posexplode("patterns").alias("i", "pattern"))
-    return each.join(chances, "pattern").select("doc_id", F.get(names, F.col("i")).alias("subject"), "posterior")
+    rows = cast.withColumn("share", _share(model)).where(F.col("share") >= SHARE)
+    sure = _sum_by(model, lambda x: x * (x >= 0.5)) / (F.col("share") * F.col("n_sentences"))
+    return rows.select("doc_id", F.get(names, F.col("subject")).alias("subject"), "share", sure.alias("posterior"))
 
 
 def composition(documents: DataFrame, labels: DataFrame, subject_list: DataFrame) -> DataFrame:
@@ -367,7 +379,28 @@ def composition(documents: DataFrame, labels: DataFrame, subject_list: DataFrame
 
 
 def function_report(documents: DataFrame, labels: DataFrame, subject_list: DataFrame) -> DataFrame:
-    """Each labelling function: its chance of a vote for given that the document has the subject and that it has not, and of no vote."""
-    _, _, model = _modelled(documents, labels, subject_list)
-    rows = [(f, float(model.chances[1, j, 2]), float(model.chances[0, j, 2]), float(model.chances[:, j, 1].mean())) for j, f in enumerate(FUNCTIONS)]
-    return documents.sparkSession.createDataFrame(rows, "labelling_function string, for_if_has double, for_if_not double, no_vote double")
+    """What each labelling function contributes.
+
+    for_if_has, for_if_not: its chance of the vote that is most for a subject, given that the
+    sentence is about it or not. apart: how far its chances of all votes differ between the two, from
+    0 (it says nothing) to 1. n_changed: decisions on documents that are others without it.
+    """
+    _, cast, patterns = _modelled(documents, labels, subject_list)
+    spark, schema = documents.sparkSession, "labelling_function string, for_if_has double, for_if_not double, apart double, n_changed long"
+    if not patterns:
+        return spark.createDataFrame([], schema)
+    whole = LatentModel(patterns)
+    has = _share(whole) >= SHARE
+    changed = [F.sum(((_share(LatentModel(patterns, [g for g in FUNCTIONS if g != f])) >= SHARE) != has).cast("long")) for f in FUNCTIONS]
+    counts = cast.agg(*changed).first()
+    rows = [(f, float(c[1, -1]), float(c[0, -1]), float(np.abs(c[1] - c[0]).sum() / 2), n) for f, c, n in zip(FUNCTIONS, whole.chances, counts, strict=True)]
+    return spark.createDataFrame(rows, schema)
+
+
+def association_report(documents: DataFrame, labels: DataFrame, subject_list: DataFrame) -> DataFrame:
+    """labelling_function, name, subject, deviations of every address, source and series with enough labelled documents: what the functions address and source rest on, whether they vote or not."""
+    subjects = _subjects(subject_list)
+    schema = "labelling_function string, name string, subject string, deviations double"
+    _, addresses, origins = fit(documents, labels, subjects)
+    rows = [(f, x, s, float(d)) for f, a in (("address", addresses), ("source", origins)) for x, z in sorted(a.deviations.items()) for s, d in zip(subjects, z, strict=True)]
+    return documents.sparkSession.createDataFrame(rows, schema)

@@ -57,8 +57,24 @@ def test_reports(case):
     n = {r.subject: r.n_documents for r in S.composition(d, y, s).collect()}
     assert set(n) == set(NOUNS) and abs(sum(n.values()) - len(truth)) < 30
     f = {r.labelling_function: r for r in S.function_report(d, y, s).collect()}
-    assert f["lexicon"].for_if_has > 0.9 and f["lexicon"].for_if_not < 0.1
-    assert f["source"].no_vote > 0.5
+    for name in ("lexicon", "terms", "section"):
+        assert f[name].apart > 0.4 and f[name].for_if_has > 5 * f[name].for_if_not
+    assert f["lexicon"].n_changed + f["terms"].n_changed > 0
+    # Here addresses and sources are drawn at random: they say nothing, and are silent.
+    for name in ("address", "source"):
+        assert f[name].apart < 0.001 and f[name].n_changed == 0
+    assert max(abs(r.deviations) for r in S.association_report(d, y, s).collect()) < S.DEVIATIONS
+
+
+def test_addresses_and_sources_that_say_something_vote(spark, case):
+    d, y, s, truth = case
+    law = spark.createDataFrame([(i,) for i, x in truth if x == "law"], "doc_id long").withColumn("is_law", F.lit(True))
+    told = d.join(law, "doc_id", "left").withColumn("source", F.when(F.col("is_law"), "court").otherwise("x"))
+    told = told.withColumn("text", F.when(F.col("is_law"), F.regexp_replace("text", "[ab]site", "lawyers")).otherwise(F.col("text"))).drop("is_law")
+    f = {r.labelling_function: r for r in S.function_report(told, y, s).collect()}
+    for name in ("address", "source"):
+        assert f[name].apart > 0.15 and f[name].for_if_has > 3 * f[name].for_if_not
+    assert f["address"].n_changed + f["source"].n_changed > 0
 
 
 def test_empty_inputs(spark, case):
@@ -71,14 +87,32 @@ def test_empty_inputs(spark, case):
 def test_latent_model_learns_who_can_be_trusted():
     rng = np.random.default_rng(0)
     z = rng.random(20_000) < 0.3
-    good = [0.95, 0.9, 0.85, 0.5, 0.5]
-    votes = np.stack([np.where(rng.random(len(z)) < g, z, ~z) * 2 for g in good], axis=1)
-    code, n = np.unique((votes * 3 ** np.arange(5)).sum(1), return_counts=True)
+    good, levels = [0.95, 0.9, 0.85, 0.5, 0.5], np.array(list(S.FUNCTIONS.values()))
+    votes = np.stack([np.where(rng.random(len(z)) < g, z, ~z) * (k - 1) for g, k in zip(good, levels, strict=True)], axis=1)
+    code, n = np.unique((votes * S.PLACES).sum(1), return_counts=True)
     m = S.LatentModel(dict(zip(code.tolist(), n.tolist(), strict=True)))
     assert abs(m.prior - 0.3) < 0.05
-    for j, g in enumerate(good):
-        assert abs(m.chances[1, j, 2] - g) < 0.06 and abs(m.chances[0, j, 2] - (1 - g)) < 0.06
+    for g, c in zip(good, m.chances, strict=True):
+        assert abs(c[1, -1] - g) < 0.06 and abs(c[0, -1] - (1 - g)) < 0.06
     assert S.LatentModel({}).posterior == {}
+    without = S.LatentModel(dict(zip(code.tolist(), n.tolist(), strict=True)), ["lexicon", "terms", "section", "source"])
+    assert len(without.chances) == 4 and abs(without.chances[0][1, -1] - 0.95) < 0.06
+
+
+def test_halves_of_the_vocabulary_are_disjoint_and_votes_exact():
+    law, sport = b"judge court clause verdict statute jury", b"referee goal relay sprint coach league"
+    labelled = [(law + b"\x02" + law, {"law"}, "en"), (sport + b"\x02" + sport, {"sport"}, "en"), (b"sit down\x02good night", {"none"}, "en")] * 40
+    m = S.WordModel(labelled, ["law", "sport"])
+    assert len(m.half) == m.rare + 1 and set(m.half[: m.rare]) == {0, 1}
+    doc, (a, b, c) = m.votes([S.sentences(x) for x in (law + b"\x02sit down", b"", sport)])
+    assert doc.tolist() == [0, 0, 2] and a.shape == b.shape == c.shape == (3, 2)
+    top = len(S.WORD_CUTS)
+    assert a[0].tolist() == b[0].tolist() == [top, 0] and a[2].tolist() == [0, top]
+    assert c.tolist() == [[0, 0], [len(S.SECTION_CUTS), 0], [0, 0]]
+    # A word counts for its half alone.
+    word = next(w for w, i in m.vocabulary.items() if m.half[i] == 0 and w in law.split())
+    _, (a, b, _) = m.votes([[[word]]])
+    assert a[0, 0] > b[0, 0] == top // 2
 
 
 def test_sentences_and_sections():
