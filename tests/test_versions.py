@@ -2,19 +2,21 @@ from keyloom.engine.transactions import Transaction
 from keyloom.engine.versions import merged, merged_by
 from pyspark.sql import functions as F
 
-LOG = "id long, _txn long, _seq long, _deleted boolean, money string, desc string"
+LOG = "id long, _txn long, _seq long, _deleted boolean, brand string, kind string"
 
 
 def current(spark, rows):
-    return sorted(map(tuple, merged(spark.createDataFrame(rows, LOG), "id", ["id", "money", "desc"]).collect()))
+    return sorted(map(tuple, merged(spark.createDataFrame(rows, LOG), "id", ["id", "brand", "kind"]).collect()))
 
 
 def test_rows_from_partial_records(spark):
-    rows = [
-        (1, 2, 0, False, "100", None), (1, 1, 0, False, "90", "Pago"), (2, 2, 0, False, "200", None), (2, 1, 0, False, None, "Cena"),
-        (3, 1, 0, False, "350", None), (4, 1, 0, False, None, "Pepita"),
-    ]
-    assert current(spark, rows) == [(1, "100", "Pago"), (2, "200", "Cena"), (3, "350", None), (4, None, "Pepita")]
+    # Every subset of two versions that each set one, both or none of the columns.
+    sets = [(None, None), ("b", None), (None, "k"), ("b", "k")]
+    rows, want = [], []
+    for i, (old, new) in enumerate((a, b) for a in sets for b in sets):
+        rows += [(i, 5, 0, False, *(x and x + "2" for x in new)), (i, 3, 0, False, *(x and x + "1" for x in old))]
+        want.append((i, *((n and n + "2") or (o and o + "1") for o, n in zip(old, new, strict=True))))
+    assert current(spark, rows) == want
 
 
 def test_deletes_and_order_within_a_transaction(spark):
@@ -24,15 +26,17 @@ def test_deletes_and_order_within_a_transaction(spark):
 
 
 def test_snapshot_of_a_version_log(spark):
-    log = [("aa", 10), ("alberto", 1), ("alberto", 2), ("alberto", 4), ("gonchi", 1), ("javier", 5), ("jaime", 1), ("jaime", 5), ("wili", 0)]
-    df = spark.createDataFrame(log, "k string, t long")
-    seen = sorted(map(tuple, df.where(Transaction(3, frozenset()).sees(F.col("t"))).collect()))
-    assert seen == [("alberto", 1), ("alberto", 2), ("gonchi", 1), ("jaime", 1), ("wili", 0)]
-    assert df.where(Transaction(5, frozenset({1, 4})).sees(F.col("t"))).count() == 4
+    df = spark.range(60).selectExpr("id % 7 AS k", "id AS t")
+    for last, hidden in ((0, set()), (31, set()), (31, {4, 30, 31, 50}), (99, {1})):
+        seen = {r.t for r in df.where(Transaction(last, frozenset(hidden)).sees(F.col("t"))).collect()}
+        assert seen == {t for t in range(60) if t <= last and t not in hidden}
+    # Ids up to the base's are no longer in a log, so they need not be hidden.
+    text = str(Transaction(50, frozenset({3, 40})).sees(F.col("t"), after=20))
+    assert "40" in text and "3" not in text.replace("<= 50", "")
 
 
 def test_merge_by_a_function(spark):
-    rows = [("alberto", 1, 0, 1), ("alberto", 2, 0, 1), ("alberto", 4, 0, 1), ("wili", 3, 1, 1), ("wili", 3, 2, 10), ("wili", 3, 3, 2), ("gone", 1, 1, 5), ("gone", 2, 1, 10)]
-    log = spark.createDataFrame(rows, "k string, _txn long, _seq long, v long").withColumn("_deleted", F.col("v") == 10)
+    rows = [("a", t, 0, t, False) for t in (1, 2, 5)] + [("b", 3, 1, 7, False), ("b", 3, 2, 0, True), ("b", 3, 3, 2, False), ("c", 1, 1, 5, False), ("c", 2, 1, 0, True)]
+    log = spark.createDataFrame(rows, "k string, _txn long, _seq long, v long, _deleted boolean")
     got = {r.k: (r.v, r._txn) for r in merged_by(log, "k", {"v": F.sum}).collect()}
-    assert got == {"alberto": (3, 4), "wili": (2, 3)}
+    assert got == {"a": (8, 5), "b": (2, 3)}
