@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.engine import Engine, Session, versions
+from keyloom.engine import Engine, KeyValues, Session, versions
 from keyloom.engine.transactions import Transaction
 from keyloom.operators import merging, postings
 from keyloom.sources.shared import shared_path
@@ -80,10 +80,8 @@ READS: dict[str, tuple[str, str, list[str], str]] = {
     "null_and_or": ("documents", 'SELECT doc_id FROM documents WHERE (episode > 10 OR lang == "es") AND n_chars < 2500 OR episode + 1 == 3;', [], "SELECT doc_id FROM documents WHERE ((episode > 10 OR lang IS NOT DISTINCT FROM 'es') AND n_chars < 2500) OR (episode + 1) IS NOT DISTINCT FROM 3"),
     "sort_asc": ("customer", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal;", [], "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey"),
     "sort_desc": ("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC;", [], "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey"),
-    "sort_nulls": ("documents", "SELECT doc_id, series FROM documents ORDER BY series LIMIT 60;", [], "SELECT doc_id, series FROM documents ORDER BY series ASC NULLS FIRST, doc_id LIMIT 60"),
-    "sort_nulls_desc": ("documents", "SELECT doc_id, fps FROM documents ORDER BY fps DESC LIMIT 60;", [], "SELECT doc_id, fps FROM documents ORDER BY fps DESC NULLS LAST, doc_id LIMIT 60"),
-    "sort_nulls_all": ("documents", "SELECT doc_id, series FROM documents ORDER BY series;", [], "SELECT doc_id, series FROM documents ORDER BY series ASC NULLS FIRST, doc_id"),
-    "sort_nulls_desc_all": ("documents", "SELECT doc_id, fps FROM documents ORDER BY fps DESC;", [], "SELECT doc_id, fps FROM documents ORDER BY fps DESC NULLS LAST, doc_id"),
+    "sort_nulls": ("documents", "SELECT doc_id, series FROM documents ORDER BY series;", [], "SELECT doc_id, series FROM documents ORDER BY series ASC NULLS FIRST, doc_id"),
+    "sort_nulls_desc": ("documents", "SELECT doc_id, fps FROM documents ORDER BY fps DESC;", [], "SELECT doc_id, fps FROM documents ORDER BY fps DESC NULLS LAST, doc_id"),
     "reverse_pk": ("orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC;", [], "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC"),
     "topn": ("orders", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority LIMIT 20;", [], "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 20"),
     "topn_desc": ("orders", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC LIMIT 20;", [], "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20"),
@@ -132,29 +130,17 @@ PLANS: dict[str, tuple[str | None, str, list[str]]] = {
 }
 
 
-def merge_union(spark: SparkSession, d: str) -> DataFrame:
-    s = session(spark, d, "customer")
-    a, b = s.sql("SELECT * FROM customer WHERE c_custkey < 100;").data, s.sql("SELECT * FROM customer WHERE c_nationkey == 3;").data
-    return merging.merge_union(a, b, "c_custkey")
-
-
-def merge_intersection(spark: SparkSession, d: str) -> DataFrame:
-    s = session(spark, d, "customer")
-    a, b = s.sql("SELECT * FROM customer WHERE c_custkey < 1000;").data, s.sql("SELECT * FROM customer WHERE c_nationkey == 3;").data
-    return merging.merge_intersection(a, b, "c_custkey")
-
-
 def _segment_and_nation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Two selections that both grow with the table."""
     s = session(spark, d, "customer")
     return s.sql('SELECT * FROM customer WHERE c_mktsegment == "FURNITURE";').data, s.sql("SELECT * FROM customer WHERE c_nationkey == 3;").data
 
 
-def merge_union_segment(spark: SparkSession, d: str) -> DataFrame:
+def merge_union(spark: SparkSession, d: str) -> DataFrame:
     return merging.merge_union(*_segment_and_nation(spark, d), "c_custkey")
 
 
-def merge_intersection_segment(spark: SparkSession, d: str) -> DataFrame:
+def merge_intersection(spark: SparkSession, d: str) -> DataFrame:
     return merging.merge_intersection(*_segment_and_nation(spark, d), "c_custkey")
 
 
@@ -175,12 +161,6 @@ def row_reassembly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snapshot_visibility(spark: SparkSession, d: str) -> DataFrame:
-    txn = Transaction(5000, frozenset({17, 400, 1234}))
-    log = _events_log(spark, d)
-    return versions.merged(log.where(txn.sees(F.col("_txn"))), "user_id", ["user_id", "event_type", "value"])
-
-
-def snapshot_visibility_share(spark: SparkSession, d: str) -> DataFrame:
     """The events as of a reader that the data gives, so the share that is seen is the same at every size."""
     log = _events_log(spark, d)
     last, hidden = _reader(log.select(F.col("_txn").alias("txn_id")))
@@ -292,6 +272,33 @@ def table_merge(spark: SparkSession, d: str) -> DataFrame:
     return s.sql("SELECT * FROM supplier;").data.select("s_suppkey", "s_nationkey", F.round("s_acctbal", 2).alias("s_acctbal"))
 
 
+def merged_log(spark: SparkSession, d: str) -> DataFrame:
+    """Writes merged into one, over a base that stays, with a write after it."""
+    s = session(spark, d, "supplier")
+    for x in ("UPDATE supplier SET s_acctbal = 1.0 WHERE s_suppkey <= 6;", "DELETE FROM supplier WHERE s_suppkey == 2 OR s_suppkey == 3;", 'INSERT INTO supplier (s_suppkey, s_name) VALUES (3, "again");'):
+        s.sql(x)
+    s.engine.merge_log("main", "supplier")
+    s.sql("UPDATE supplier SET s_nationkey = 99 WHERE s_suppkey >= 3 AND s_suppkey <= 4;")
+    return s.sql("SELECT * FROM supplier;").data
+
+
+def key_value_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Many changes as one write: columns set, keys added and deleted, one deleted and set anew."""
+    s = session(spark, d, "supplier")
+    store = KeyValues(s, "supplier")
+    store.write_batch([(1, {"s_acctbal": 5.0}), (2, None), (1, {"s_nationkey": 9}), (5000000, {"s_name": "new"}), (3, None), (3, {"s_name": "third"})])
+    store.set(4, s_name="fourth")
+    store.delete(5)
+    return store.scan_all()
+
+
+def key_value_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Whether single keys are found, and how many rows follow a key, with it and without."""
+    store = KeyValues(session(spark, d, "orders"), "orders")
+    there = lambda k: int(store.get(k) is not None)
+    return spark.createDataFrame([(there(7), there(-7), store.scan_from(100).count(), store.scan_from(100, inclusive=False).count())], "n_there int, n_not_there int, n_from long, n_after long")
+
+
 def posting_list(spark: SparkSession, d: str) -> DataFrame:
     """Size and ends of each value's posting list, from its shards."""
     shards = merging.posting_shards(read_table(spark, d, "orders"), "o_orderkey", "o_orderstatus")
@@ -308,10 +315,6 @@ def posting_list_merge(spark: SparkSession, d: str) -> DataFrame:
     return merging.listed(shards)
 
 
-def posting_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return postings.postings_as_of(read_table(spark, d, "posting_list").where("keyspace_id = 103"), 2000, [80, 400])
-
-
 def _reader(txns: DataFrame) -> tuple[int, list[int]]:
     """A reader at three quarters of the history, and the transactions open when it starts: every second of the last twenty before it."""
     last = (txns.agg(F.max("txn_id")).first()[0] or 0) * 3 // 4
@@ -319,7 +322,7 @@ def _reader(txns: DataFrame) -> tuple[int, list[int]]:
     return last, before[::2]
 
 
-def posting_as_of_all(spark: SparkSession, d: str) -> DataFrame:
+def posting_as_of(spark: SparkSession, d: str) -> DataFrame:
     """All indexes as of a transaction that the data gives, so the share that is read is the same at every size."""
     lists = read_table(spark, d, "posting_list")
     return postings.postings_as_of(lists, *_reader(postings.usable_entries(lists).where(F.col("txn_id") > postings.OLDEST).select("txn_id")))
@@ -338,7 +341,10 @@ def read_uncommitted(spark: SparkSession, d: str) -> DataFrame:
     return s.engine.session("main", "read_uncommitted").sql("SELECT s_suppkey, s_nationkey FROM supplier;").data
 
 
-NAMED = [merge_union, merge_intersection, merge_union_segment, merge_intersection_segment, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_visibility_share, snapshot_read, rollback_hidden, compacted_read, posting_list, posting_list_merge, posting_as_of, posting_as_of_all, merge_hook, read_uncommitted, created_table, background_index, recovered, last_id_wins, use_rolls_back, auto_commit_off, table_merge]
+NAMED = [
+    merge_union, merge_intersection, topn_distinct_key, row_reassembly, snapshot_visibility, snapshot_read, rollback_hidden, compacted_read, merged_log, posting_list, posting_list_merge, posting_as_of, merge_hook, read_uncommitted,
+    created_table, background_index, recovered, last_id_wins, use_rolls_back, auto_commit_off, table_merge, key_value_batch, key_value_scan,
+]
 
 
 def queries() -> dict[str, Query]:
@@ -358,18 +364,20 @@ def _merged_sql(where: str) -> str:
 def oracle_sql() -> dict[str, str]:
     lines = {n: "SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in p[2]) + ") v(Step)" for n, p in PLANS.items()}
     return {n: x[3] for n, x in READS.items()} | lines | {
-        "merge_union": "SELECT * FROM customer WHERE c_custkey < 100 OR c_nationkey = 3",
-        "merge_intersection": "SELECT * FROM customer WHERE c_custkey < 1000 AND c_nationkey = 3",
-        "merge_union_segment": "SELECT * FROM customer WHERE c_mktsegment = 'FURNITURE' OR c_nationkey = 3",
-        "merge_intersection_segment": "SELECT * FROM customer WHERE c_mktsegment = 'FURNITURE' AND c_nationkey = 3",
+        "merge_union": "SELECT * FROM customer WHERE c_mktsegment = 'FURNITURE' OR c_nationkey = 3",
+        "merge_intersection": "SELECT * FROM customer WHERE c_mktsegment = 'FURNITURE' AND c_nationkey = 3",
         "topn_distinct_key": "SELECT o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) = 1 ORDER BY o_orderdate LIMIT 20",
         "row_reassembly": _merged_sql("true"),
-        "snapshot_visibility": _merged_sql("event_id <= 5000 AND event_id NOT IN (17, 400, 1234)"),
-        "snapshot_visibility_share": _merged_sql("""event_id <= (SELECT max(event_id) * 3 // 4 FROM events) AND event_id NOT IN (SELECT event_id FROM
+        "snapshot_visibility": _merged_sql("""event_id <= (SELECT max(event_id) * 3 // 4 FROM events) AND event_id NOT IN (SELECT event_id FROM
             (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS n FROM (SELECT DISTINCT event_id FROM events WHERE event_id < (SELECT max(event_id) * 3 // 4 FROM events))) WHERE n < 20 AND n % 2 = 1)"""),
         "snapshot_read": "SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 1::double ELSE s_acctbal END AS s_acctbal FROM supplier",
         "rollback_hidden": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey <> 4",
         "compacted_read": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey < 10 THEN 0 ELSE s_nationkey END AS s_nationkey, s_acctbal FROM supplier WHERE s_acctbal >= 0",
+        "merged_log": """SELECT s_suppkey, CASE WHEN s_suppkey = 3 THEN 'again' ELSE s_name END AS s_name, CASE WHEN s_suppkey IN (3, 4) THEN 99 ELSE s_nationkey END AS s_nationkey,
+            CASE WHEN s_suppkey = 3 THEN NULL WHEN s_suppkey <= 6 THEN 1::double ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey <> 2""",
+        "key_value_batch": """SELECT s_suppkey, CASE s_suppkey WHEN 3 THEN 'third' WHEN 4 THEN 'fourth' ELSE s_name END AS s_name, CASE s_suppkey WHEN 1 THEN 9 WHEN 3 THEN NULL ELSE s_nationkey END AS s_nationkey,
+            CASE s_suppkey WHEN 1 THEN 5::double WHEN 3 THEN NULL ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey NOT IN (2, 5) UNION ALL SELECT 5000000, 'new', NULL, NULL""",
+        "key_value_scan": "SELECT count(*) FILTER (o_orderkey = 7)::int AS n_there, count(*) FILTER (o_orderkey = -7)::int AS n_not_there, count(*) FILTER (o_orderkey >= 100) AS n_from, count(*) FILTER (o_orderkey > 100) AS n_after FROM orders",
         "created_table": """SELECT * FROM (VALUES (1::bigint, 'one', 2.5::double, 254::smallint, 18446744073709551615::decimal(20,0), 0.25::float, true), (2, 'two', 5, NULL, NULL, NULL, NULL), (-3, NULL, -7.5, NULL, NULL, NULL, false))
             v(id, name, money, small, big, real, flag)""",
         "background_index": "SELECT c_custkey, 3 AS c_nationkey FROM customer WHERE (c_nationkey = 3 AND c_custkey > 40) OR c_custkey BETWEEN 21 AND 40",
@@ -379,11 +387,7 @@ def oracle_sql() -> dict[str, str]:
         "auto_commit_off": "SELECT s_suppkey, CASE WHEN s_suppkey = 6 THEN 77 ELSE s_nationkey END AS s_nationkey FROM supplier",
         "table_merge": """SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 5 ELSE s_nationkey END AS s_nationkey,
             round(s_acctbal + CASE WHEN s_suppkey <= 5 THEN 10 ELSE 0 END - CASE WHEN s_suppkey <= 2 THEN 1 ELSE 0 END + CASE WHEN s_suppkey = 1 THEN 100 ELSE 0 END, 2) AS s_acctbal FROM supplier""",
-        "posting_as_of": """SELECT keyspace_id, index_value, primary_key FROM
-            (SELECT keyspace_id, index_value, unnest(entries, recursive := true) FROM posting_list WHERE keyspace_id = 103)
-            WHERE primary_key IS NOT NULL AND is_present IS NOT NULL AND txn_id <= 2000 AND txn_id NOT IN (80, 400)
-            GROUP BY keyspace_id, index_value, primary_key HAVING arg_max(is_present, txn_id)""",
-        "posting_as_of_all": """WITH e AS (SELECT keyspace_id, index_value, unnest(entries, recursive := true) FROM posting_list),
+        "posting_as_of": """WITH e AS (SELECT keyspace_id, index_value, unnest(entries, recursive := true) FROM posting_list),
             used AS (SELECT * FROM e WHERE primary_key IS NOT NULL AND is_present IS NOT NULL),
             reader AS (SELECT max(txn_id) * 3 // 4 AS last FROM used),
             before AS (SELECT txn_id, row_number() OVER (ORDER BY txn_id DESC) AS n FROM (SELECT DISTINCT txn_id FROM used, reader WHERE txn_id < last)),

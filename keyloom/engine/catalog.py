@@ -24,6 +24,7 @@ class TableInfo:
     types: dict[str, str]
     base: str | None = None
     base_txn: int = 0
+    base_number: int = 0
     log_number: int = 0
     logged: bool = False
     indexes: dict[str, str] = field(default_factory=dict)
@@ -34,7 +35,7 @@ class TableInfo:
         return f"{self.folder}/log-{self.log_number}"
 
     def index_path(self, column: str) -> str:
-        return f"{self.folder}/index-{list(self.types).index(column)}-{self.log_number}"
+        return f"{self.folder}/index-{list(self.types).index(column)}-{self.base_number}"
 
     def schema(self) -> T.StructType:
         """Columns with their number, key and index as metadata."""

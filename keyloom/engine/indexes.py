@@ -39,15 +39,15 @@ def sources(table: TableInfo, path: P.Path) -> list[tuple[str, Column]] | None:
     """What a path reads: Parquet folders, each with the bounds of its column, which together cover the path's rows; None for the whole base.
 
     A union reads what both sides read. Of an intersection the side that reads fewer sources is
-    read, points before ranges, as either covers the rows; the other's bounds are pushed into the
+    read, points before ranges and the base before a copy, as either covers the rows; the other's bounds are pushed into the
     same scans with the rest of the predicate.
     """
     if isinstance(path, P.Merge):
         left, right = sources(table, path.left), sources(table, path.right)
         if path.kind == "Union":
             return None if left is None or right is None else left + right
-        sides = [(len(s), _ranges(p), s) for p, s in ((path.left, left), (path.right, right)) if s is not None]
-        return min(sides, key=lambda x: x[:2])[2] if sides else None
+        sides = [(len(s), _ranges(p), any(at != table.base for at, _ in s), s) for p, s in ((path.left, left), (path.right, right)) if s is not None]
+        return min(sides, key=lambda x: x[:3])[3] if sides else None
     if isinstance(path, (P.Point, P.Range)):
         if path.column == table.primary:
             return [(table.base, _inside(path))]

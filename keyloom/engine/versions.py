@@ -111,13 +111,28 @@ def snapshot(spark: SparkSession, table: TableInfo, txn: Transaction | None, par
     return unchanged.join(keys, table.primary, "left_anti").select(*columns).unionByName(changed)
 
 
-def append(rows: DataFrame, table: TableInfo, txn: Transaction, seq: int, deleted: bool) -> int:
-    """Writes log rows and gives their number; rows holds the key and the columns that are set."""
+def reduced_log(spark: SparkSession, table: TableInfo, txn: Transaction) -> DataFrame:
+    """The log as few rows: of each key its last delete, if any, and the values set after it, as one row each of the transaction itself.
+
+    Over any base it gives the rows that the whole log gives, for readers that see ``txn`` and later ones.
+    """
+    log = read_log(spark, table).where(txn.sees(F.col(TXN), table.base_txn))
+    kinds = {c: SPARK_TYPES[t] for c, t in table.types.items() if t in SPARK_TYPES}
+    key = F.col(f"`{table.primary}`")
+    dead = log.where(F.coalesce(F.col(DELETED), F.lit(False))).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    now = F.lit(txn.id).cast("long").alias(TXN)
+    deletes = dead.select(now, F.lit(True).alias(DELETED), *[(key if c == table.primary else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    values = merged(log, table.primary, list(kinds)).select(now, F.lit(False).alias(DELETED), *[F.col(f"`{c}`") for c in kinds])
+    return deletes.withColumn("_first", F.lit(1)).unionByName(values.withColumn("_first", F.lit(2)))
+
+
+def append(rows: DataFrame, table: TableInfo, txn: Transaction, seq: int, deleted: bool | None) -> int:
+    """Writes log rows and gives their number; rows holds the key and the columns that are set, and, where ``deleted`` is None, says itself what is deleted."""
     spark = rows.sparkSession
     given = set(rows.columns)
     columns = [(F.col(f"`{c}`") if c in given else F.lit(None)).cast(SPARK_TYPES[t]).alias(c) for c, t in table.types.items() if t in SPARK_TYPES]
     path = f"{table.log}/{SEQ}={seq}"
-    rows.select(F.lit(txn.id).cast("long").alias(TXN), F.lit(deleted).alias(DELETED), *columns).write.parquet(path)
+    rows.select(F.lit(txn.id).cast("long").alias(TXN), (F.col(DELETED) if deleted is None else F.lit(deleted)).alias(DELETED), *columns).write.parquet(path)
     return spark.read.parquet(path).count()
 
 

@@ -29,9 +29,17 @@ BUCKETS = 8
 #: One row in so many is looked at to find hot sub-keys. It steers where rows go, never the result.
 SAMPLE = 8
 
+#: Rows that a task should have at most, where the number of tasks is not given.
+TASK_ROWS = 4_000_000
+
 TASK, HOT = "_task", "_hot"
 
 
+def tasks_for(spark: SparkSession, rows: int | float) -> int:
+    """The session's number of shuffle partitions, or more where the rows are known to need more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS))
+
+
 @dataclass
 class ShardPlan:
     """Where the rows of each key go.
@@ -99,17 +107,19 @@ def pack(loads: list[tuple[float, int]], tasks: int) -> list[int]:
     return at
 
 
-def plan_shards(loads: DataFrame, keys: list[str], subs: list[str], load: str, tasks: int, sub_sample: DataFrame | None = None) -> ShardPlan:
+def plan_shards(loads: DataFrame, keys: list[str], subs: list[str], load: str, tasks: int | None = None, sub_sample: DataFrame | None = None) -> ShardPlan:
     """A plan from the estimated load of each key.
 
     loads: one row per key with its load; sub_sample: a sample of rows with keys and subs, one row
     for each unit of load times SAMPLE, in which sub-keys that are hot by themselves are sought.
-    Null keys are a key like any other. Without rows the plan has empty buckets only.
+    tasks: by default as many as the load needs. Null keys are a key like any other. Without rows the
+    plan has empty buckets only.
     """
-    n_buckets = tasks * BUCKETS
     loads = loads.select(*keys, F.coalesce(F.col(load).cast("double"), F.lit(0.0)).alias("_load")).persist()
     try:
         total = loads.agg(F.sum("_load")).first()[0] or 0.0
+        tasks = tasks or tasks_for(loads.sparkSession, total)
+        n_buckets = tasks * BUCKETS
         piece = max(1.0, total / (tasks * PIECES))
         big = [tuple(r) for r in loads.where(F.col("_load") > piece).collect()]
         bucket = F.pmod(F.xxhash64(*keys), F.lit(n_buckets)).cast("int")
@@ -135,18 +145,19 @@ def plan_shards(loads: DataFrame, keys: list[str], subs: list[str], load: str, t
     return ShardPlan(tasks, keys, subs, key_schema, at[:n_buckets], [(*k, at[i : i + n]) for k, i, n in spans], hot)
 
 
-def heavy_keys(df: DataFrame, keys: list[str], tasks: int) -> DataFrame | None:
+def heavy_keys(df: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame | None:
     """Keys with more than a piece of a task's fair share of the rows, by a sample; None if there are none. Fewer than tasks * PIECES can be found."""
     sampled = df.where(F.pmod(F.xxhash64(*df.columns), F.lit(SAMPLE)) == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).persist()
     try:
         total = sampled.agg(F.sum("_n")).first()[0] or 0
+        tasks = tasks or tasks_for(df.sparkSession, total * SAMPLE)
         rows = sampled.where(F.col("_n") > max(1000 / SAMPLE, total / (tasks * PIECES))).select(*keys).collect()
     finally:
         sampled.unpersist()
     return df.sparkSession.createDataFrame(rows, df.select(*keys).schema) if rows else None
 
 
-def looked_up(df: DataFrame, right: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+def looked_up(df: DataFrame, right: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
     """Left join with ``right``, which has at most one row per key, such that no task gets all rows of a heavy key.
 
     The right rows of heavy keys, fewer than tasks * PIECES, go to where the left rows are; all

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyloom.operators.balanced import tasks_for
 from keyloom.operators.references import FILTER_BYTES, bloom_blocks, bloom_filter, filter_bytes, with_might_contain
 from keyloom.sources.files import Files
 from keyloom.sources.shared import checkpointed, shared_path, ship_package
@@ -151,7 +152,7 @@ class SeenKeys:
         self.files.recover(f"{path}/current")
         kept = json.loads(self.files.read(f"{path}/current")) if self.files.exists(f"{path}/current") else {}
         self.runs: int = kept.get("runs", 0)
-        self.shards: int = kept.get("shards", shards or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.shards: int | None = kept.get("shards", shards)
         self.bound: float = kept.get("bound", bound)
 
     def _read(self, names: list[str], schema: str) -> DataFrame:
@@ -169,6 +170,7 @@ class SeenKeys:
 
     def _with_layers(self, rows: DataFrame) -> DataFrame:
         """Rows with h1 and h2, and the layers, in the partition of their shard and in its order."""
+        self.shards = self.shards or tasks_for(self.spark, 0)
         rows = rows.withColumn("shard", F.pmod("h1", F.lit(self.shards)).cast("int"))
         both = self.layers().drop("ones").unionByName(rows, allowMissingColumns=True)
         return both.repartitionById(self.shards, F.col("shard")).sortWithinPartitions("shard", F.col("layer").asc_nulls_last())
@@ -190,6 +192,8 @@ class SeenKeys:
         if not few:
             self.files.delete(to)
             return 0
+        # Of the first run, which sets the number of shards for all others, the row count is in the files' footers.
+        self.shards = self.shards or tasks_for(self.spark, versions.count())
         rows = _known(versions).select("keyspace_id", "key_value", "sstable_id")
         if len(few) <= PUSHED and None not in (ids := [r[0] for r in few]):
             rows = rows.where(F.col("sstable_id").isin(*ids))

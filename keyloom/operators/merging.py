@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.operators.balanced import looked_up
 from keyloom.sources.shared import checkpointed
 
 
@@ -36,7 +37,7 @@ def posting_shards(rows: DataFrame, key: str, column: str, keys_per_shard: int =
     """
     have = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("index_value"), F.col(key).alias("primary_key"))
     sizes = have.groupBy("index_value").agg(F.ceil(F.count(F.lit(1)) / keys_per_shard).alias("_shards"))
-    spread = have.join(sizes, "index_value").withColumn("shard", F.pmod(F.xxhash64("primary_key"), F.col("_shards")).cast("int"))
+    spread = looked_up(have, sizes, ["index_value"]).withColumn("shard", F.pmod(F.xxhash64("primary_key"), F.col("_shards")).cast("int"))
     return spread.groupBy("index_value", "shard").agg(F.sort_array(F.collect_list("primary_key")).alias("primary_keys"))
 
 

@@ -13,10 +13,6 @@ PAIR = [*VALUE, "primary_key"]
 OLDEST = -(1 << 63)
 
 
-def default_tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def usable_entries(fragments: DataFrame, *more: str) -> DataFrame:
     """One row per entry with a primary key and a presence flag. A missing txn_id counts as the oldest."""
     e = F.col("_e")
@@ -27,7 +23,6 @@ def usable_entries(fragments: DataFrame, *more: str) -> DataFrame:
 
 def shard_plan(fragments: DataFrame, tasks: int | None = None) -> ShardPlan:
     """Load of an index value: the entries of its fragments. Hot primary keys are sought in a sample of fragments."""
-    tasks = tasks or default_tasks(fragments)
     loads = fragments.groupBy(*VALUE).agg(F.sum(F.when(F.col("entries").isNotNull(), F.size("entries")).otherwise(0)).alias("_n"))
     sampled = fragments.where(F.pmod(F.xxhash64("fragment_id"), F.lit(SAMPLE)) == 0)
     return plan_shards(loads, VALUE, ["primary_key"], "_n", tasks, usable_entries(sampled).select(*PAIR))

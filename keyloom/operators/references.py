@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.operators.balanced import looked_up
-from keyloom.operators.postings import default_tasks, merge_postings
+from keyloom.operators.postings import merge_postings
 from keyloom.sources.shared import checkpointed
 
 #: A block of the filter: 512 words of 64 bits, 4 KiB.
@@ -61,7 +61,7 @@ def with_might_contain(df: DataFrame, bloom: DataFrame, keys: list[str], n_block
     df = df.withColumn("_block", F.pmod(block, F.lit(n_blocks)).cast("int")).withColumn("_spots", spots)
     hit = F.forall("_spots", lambda p: F.getbit(F.get("_words", F.shiftright(p, 6)), p.bitwiseAND(63)) == 1)
     bloom = bloom.select(F.col("block").alias("_block"), F.col("words").alias("_words"))
-    met = df.join(F.broadcast(bloom), "_block", "left") if filter_bytes(n_blocks) <= most_bytes else looked_up(df, bloom, ["_block"], default_tasks(df))
+    met = df.join(F.broadcast(bloom), "_block", "left") if filter_bytes(n_blocks) <= most_bytes else looked_up(df, bloom, ["_block"])
     return met.withColumn("maybe_parent", F.coalesce(hit, F.lit(False))).drop("_block", "_spots", "_words")
 
 
@@ -101,7 +101,7 @@ def orphan_references(fragments: DataFrame, versions: DataFrame, schema: DataFra
     state = versions.groupBy(F.col("keyspace_id").alias("table_id"), F.col("key_value").alias("primary_key")).agg(
         F.max(F.when(~dead, F.col("txn_id"))).alias("_live"), F.max(F.when(dead, F.col("txn_id"))).alias("_dead"), F.min("txn_id").alias("_first"), F.lit(True).alias("_there")
     )
-    met = looked_up(posts.where("maybe_parent"), state, ["table_id", "primary_key"], default_tasks(fragments))
+    met = looked_up(posts.where("maybe_parent"), state, ["table_id", "primary_key"])
     kind = (
         F.when(F.col("_there").isNull(), "missing")
         .when(F.col("_dead").isNotNull() & (F.col("_live").isNull() | (F.col("_dead") >= F.col("_live"))), "deleted")
@@ -121,6 +121,6 @@ def filter_report(fragments: DataFrame, versions: DataFrame, schema: DataFrame)
     """One row: postings, those proven orphans by the filter, those left to the exact join, and how many of these the filter let through wrongly."""
     posts = screened(fragments, versions, schema, False)
     keys = versions.select(F.col("keyspace_id").alias("table_id"), F.col("key_value").alias("primary_key")).distinct().withColumn("_there", F.lit(True))
-    met = looked_up(posts, keys, ["table_id", "primary_key"], default_tasks(fragments))
+    met = looked_up(posts, keys, ["table_id", "primary_key"])
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return met.agg(F.count(F.lit(1)).alias("n_postings"), n(~F.col("maybe_parent")).alias("n_proven"), n(F.col("maybe_parent")).alias("n_verified"), n(F.col("maybe_parent") & F.col("_there").isNull()).alias("n_let_through"))

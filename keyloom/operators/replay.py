@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.operators.balanced import tasks_for
 from keyloom.sources.shared import ship_package
 
 KEY, VERSION = ["keyspace_id", "key_value"], ["txn_id", "seq"]
@@ -79,15 +80,17 @@ def _ordered(changes: DataFrame, tasks: int) -> DataFrame:
     return changes.repartition(tasks, *KEY).sortWithinPartitions(*KEY, *VERSION, "column_id")
 
 
-def hot_keys(rows: DataFrame, tasks: int) -> list[tuple[int, int, int]]:
-    """(keyspace_id, key_value, parts) of the keys whose rows exceed a part of a task's fair share.
+def hot_keys(rows: DataFrame, tasks: int | None = None) -> tuple[list[tuple[int, int, int]], int]:
+    """(keyspace_id, key_value, parts) of the keys whose rows exceed a part of a task's fair share; and the number of tasks, which is what the rows need unless it is given.
 
     Fewer than tasks * HOT_PARTS keys can exceed it, so the list may be collected and broadcast.
     """
     loads = rows.where("keyspace_id IS NOT NULL AND key_value IS NOT NULL").groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).persist()
     try:
-        share = max(1000.0, (loads.agg(F.sum("_n")).first()[0] or 0) / (tasks * HOT_PARTS))
-        return [(r[0], r[1], min(tasks, int(r[2] / share) + 1)) for r in loads.where(F.col("_n") > share).collect()]
+        total = loads.agg(F.sum("_n")).first()[0] or 0
+        tasks = tasks or tasks_for(rows.sparkSession, total)
+        share = max(1000.0, total / (tasks * HOT_PARTS))
+        return [(r[0], r[1], min(tasks, int(r[2] / share) + 1)) for r in loads.where(F.col("_n") > share).collect()], tasks
     finally:
         loads.unpersist()
 
@@ -102,18 +105,17 @@ def replay(changes: DataFrame, tasks: int | None = None, hot: list[tuple[int, in
 
     The changes of a hot key are first cut into several parts and each part is replayed to its
     state, which is again a few changes; the parts' states then replay like the changes of any other
-    key. So no task gets all changes of a hot key. hot: these keys, if they are known already; which
+    key. So no task gets all changes of a hot key. hot: these keys, if they are known already, with the number of tasks; which
     they are decides where work is done and not the result. Of a deleting and a setting change with the same
     version the setting one counts. keep_deletes: the last delete of each key stays as a row of
     column DELETE, so that the result can be replayed together with further changes, older or newer.
     """
     spark = changes.sparkSession
     ship_package(spark)
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = [*KEY, *VERSION, "column_id"]
     changes = changes.select(*columns)
     if hot is None:
-        hot = hot_keys(changes, tasks)
+        hot, tasks = hot_keys(changes, tasks)
     if hot:
         plan = F.broadcast(spark.createDataFrame(hot, "_hk long, _hv long, _parts int"))
         is_hot = (changes["keyspace_id"] == F.col("_hk")) & (changes["key_value"] == F.col("_hv"))
@@ -144,9 +146,9 @@ def _part_replayer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def current_cells(feed: DataFrame, log: DataFrame, tasks: int | None = None) -> DataFrame:
     """Current cells after all changes of committed transactions; a transaction without a commit record counts for nothing."""
-    tasks = tasks or int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = feed.join(committed(log), "txn_id", "left_semi")
-    return replay(parsed_changes(kept), tasks, hot_keys(feed, tasks))
+    hot, tasks = hot_keys(feed, tasks)
+    return replay(parsed_changes(kept), tasks, hot)
 
 
 def current_rows(feed: DataFrame, log: DataFrame, tasks: int | None = None) -> DataFrame:

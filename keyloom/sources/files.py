@@ -60,3 +60,8 @@ class Files:
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
+
+    def delete_at_end(self, path: str) -> None:
+        """Deletes a folder that exists when the application ends."""
+        fs, p = self._at(path)
+        fs.deleteOnExit(p)

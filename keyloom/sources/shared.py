@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from keyloom.sources.files import Files
 
 _fallback: dict[str, str] = {}
+_made: set[str] = set()
 _shipped: set[str] = set()
 
 
@@ -33,8 +34,15 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_root(spark)}/keyloom/{purpose}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder, in a folder of this application that is deleted when it ends. State that is to outlive it belongs to a path of the caller's."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_root(spark)}/keyloom/{app}"
+    if app not in _made:
+        files = Files(spark)
+        files.make(folder)
+        files.delete_at_end(folder)
+        _made.add(app)
+    return f"{folder}/{purpose}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame, purpose: str) -> DataFrame:
@@ -63,4 +71,4 @@ def ship_package(spark: SparkSession) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in enough partitions for much work per row. Only an input of fewer partitions than there are cores is shuffled; a larger one stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -221,3 +221,123 @@ def test_compaction_by_itself_and_read_uncommitted(spark, tmp_path):
     assert rows(e.session("d"), "SELECT id FROM t;") == [(0,), (1,), (2,)]
     s.sql("ROLLBACK;")
     assert rows(e.session("d", "read_uncommitted"), "SELECT id FROM t;") == [(0,), (1,), (2,)]
+
+
+def test_a_reader_leaves_the_writer_alone_and_sees_its_commits(spark, engine, db):
+    for i in range(3):
+        db.sql(f"INSERT INTO t (id) VALUES ({i});")
+    db.sql("START_TRANSACTION;")
+    db.sql("INSERT INTO t (id) VALUES (9);")
+    reader = Engine(spark, engine.catalog.root).session("d")
+    files = set(engine.catalog.files.names(engine.transactions("d").folder))
+    assert len(rows(reader)) == 3 and set(engine.catalog.files.names(engine.transactions("d").folder)) == files
+    db.sql("COMMIT;")
+    assert len(rows(reader)) == len(rows(db)) == 4
+    # A new writer ends what the old one left open, and the old one is told.
+    db.sql("START_TRANSACTION;")
+    db.sql("INSERT INTO t (id) VALUES (10);")
+    reader.sql("INSERT INTO t (id) VALUES (11);")
+    with pytest.raises(X.InvalidContext):
+        db.sql("COMMIT;")
+    assert sorted(r[0] for r in rows(reader, "SELECT id FROM t;")) == [0, 1, 2, 9, 11]
+
+
+def test_compaction_keeps_what_was_handed_out_and_drops_what_is_older(engine, db):
+    kept = lambda: sorted(engine.catalog.files.names(engine.catalog.table("d", "t").folder))
+    db.sql("CREATE INDEX ON t (nivel);")
+    db.sql("INSERT INTO t (id, nivel) VALUES (1, 1);")
+    db.sql("START_TRANSACTION;")
+    db.sql("DELETE FROM t;")
+    db.sql("ROLLBACK;")
+    early = db.sql("SELECT * FROM t;").data
+    engine.compact("d", "t")
+    assert len(early.collect()) == 1
+    for i in (2, 3):
+        db.sql(f"INSERT INTO t (id, nivel) VALUES ({i}, 1);")
+        early = db.sql("SELECT * FROM t WHERE nivel == 1;").data
+        engine.compact("d", "t")
+        assert len(early.collect()) == i
+    assert kept() == ["base-2", "base-3", "index-3-2", "index-3-3", "log-2"]
+    assert engine.transactions("d").rolled_back == set() and len(engine.catalog.files.names(engine.transactions("d").folder)) <= 4
+    last = engine.transactions("d").last
+    assert db.sql("START_TRANSACTION;").count == last + 1
+
+
+def test_tiers(spark, tmp_path):
+    from keyloom.engine import Options
+
+    path = f"file://{tmp_path}/base.parquet"
+    spark.range(100).selectExpr("id AS k", "id * 1.0D AS v").write.parquet(path)
+    shown = {}
+    for strategy in ("tiered", "leveled"):
+        e = Engine(spark, f"file://{tmp_path}/{strategy}", Options(compact_after=3, strategy=strategy))
+        e.session().sql("CREATE DATABASE d;")
+        e.register_parquet("d", "r", path, "k")
+        s = e.session("d")
+        s.sql("CREATE INDEX ON r (v);")
+        for i in range(7):
+            s.sql(f"UPDATE r SET v = -1.0 WHERE k == {i % 4};" if i % 3 else f"DELETE FROM r WHERE k == {50 + i};")
+        t = e.catalog.table("d", "r")
+        assert (t.base == path) == (strategy == "tiered") and t.log_number >= 2
+        shown[strategy] = rows(s, "SELECT * FROM r WHERE v < 60.0;")
+    assert shown["tiered"] == shown["leveled"] and len(shown["tiered"]) == 60 - 3 + 2 - 2
+    with pytest.raises(X.InvalidOption):
+        Options(strategy="none")
+
+
+def test_options_file_rows_one_by_one_and_prompt(spark, engine, db, tmp_path):
+    from keyloom.engine import Options
+    from keyloom.engine.cli import prompt
+
+    (tmp_path / "options").write_text("# all of them\ncompact_after = 5\nstrategy = leveled # each time\n\nisolation = read_uncommitted\n")
+    o = Options.read(spark, f"file://{tmp_path}/options")
+    assert o == Options(5, "leveled", "read_uncommitted") and Options().compact_after == 64
+    for bad in ("compact_after = x", "nothing = 1"):
+        (tmp_path / "bad").write_text(bad)
+        with pytest.raises(X.InvalidOption):
+            Options.read(spark, f"file://{tmp_path}/bad")
+    for i in (1, 2):
+        db.sql(f"INSERT INTO t (id) VALUES ({i});")
+    r = db.sql("SELECT id FROM t ORDER BY id;")
+    assert [r.next(), r.next(), r.next()] == [(1,), (2,), None]
+    s = engine.session("d")
+    lines = ["autocommit off", "DELETE FROM t WHERE id == 1;", "", "autocommit maybe", "ROLLBACK;", "SELECT id FROM t;"]
+    said = list(prompt(s, lines))
+    assert said[1].startswith("1 rows") and said[2] == "autocommit on, or autocommit off" and "2 rows in set" in said[4] and s.database is None
+    assert list(prompt(engine.session("d"), ["exit", "SELECT * FROM t;"])) == []
+
+
+def test_key_values(engine, db):
+    from keyloom.engine import KeyValues
+
+    store = KeyValues(db, "t")
+    assert store.write_batch([(2, {"nombre": "b"}), (1, {"nombre": "a", "dinero": 1.0}), (2, {"nivel": 7}), (3, None)]) == 3
+    assert tuple(store.get(2)) == (2, "b", None, 7) and store.get(3) is None
+    db.sql("START_TRANSACTION;")
+    store.delete(1)
+    store.write_batch([(2, None), (2, {"dinero": 2.0})])
+    assert [tuple(r) for r in store.scan_all().collect()] == [(2, None, 2.0, None)]
+    assert store.write_batch([]) == 0
+    db.sql("ROLLBACK;")
+    assert [r.id for r in store.scan_from(1, inclusive=False).collect()] == [2] and len(rows(db)) == 2
+    for bad, error in (([(None, {})], X.PrimaryColumnNotIncluded), ([(1, {"x": 1})], X.UnknownColumn), ([(1, {"id": 1})], X.UnknownColumn)):
+        with pytest.raises(error):
+            store.write_batch(bad)
+    with pytest.raises(X.TableNotFound):
+        KeyValues(db, "none")
+
+
+def test_table_merge_functions(engine, db):
+    engine.set_merge("d", "t", {"dinero": "sum", "nivel": "max"})
+    for x in ("INSERT INTO t (id, dinero, nivel) VALUES (1, 1.5, 3);", "INSERT INTO t (id, dinero, nivel) VALUES (1, 2.0, 2);", 'INSERT INTO t (id, nombre) VALUES (2, "b");'):
+        db.sql(x)
+    assert rows(db) == [(1, None, 3.5, 3), (2, "b", None, None)]
+    engine.compact("d", "t")
+    db.sql("INSERT INTO t (id, dinero) VALUES (1, 1.0);")
+    assert rows(db, "SELECT id, dinero, nivel FROM t;") == [(1, 4.5, 3), (2, None, None)]
+    db.sql("DELETE FROM t WHERE id == 1;")
+    db.sql("INSERT INTO t (id, nivel) VALUES (1, 1);")
+    assert rows(db, "SELECT id, dinero, nivel FROM t WHERE id == 1;") == [(1, None, 1)]
+    for bad in ({"id": "sum"}, {"dinero": "median"}):
+        with pytest.raises(X.InvalidOption):
+            engine.set_merge("d", "t", bad)

@@ -15,13 +15,13 @@ def test_postings_as_of_read_every_index_at_every_size(spark, small):
         con = oracle(d)
         e = "(SELECT keyspace_id, unnest(entries, recursive := true) FROM posting_list) WHERE primary_key IS NOT NULL AND is_present"
         wanted = {r[0] for r in con.execute(f"SELECT DISTINCT keyspace_id FROM {e}").fetchall()}
-        found = QUERIES["posting_as_of_all"](spark, d)
+        found = QUERIES["posting_as_of"](spark, d)
         assert {r[0] for r in found.select("keyspace_id").distinct().collect()} == wanted
         shares.append(found.count() / con.execute(f"SELECT count(DISTINCT (keyspace_id, index_value, primary_key)) FROM (SELECT keyspace_id, index_value, unnest(entries, recursive := true) FROM posting_list) WHERE primary_key IS NOT NULL AND is_present").fetchone()[0])
     assert shares[0] == pytest.approx(shares[1], rel=0.2)
 
 
-@pytest.mark.parametrize(("name", "column", "nulls_first"), [("sort_nulls_all", "series", True), ("sort_nulls_desc_all", "fps", False)])
+@pytest.mark.parametrize(("name", "column", "nulls_first"), [("sort_nulls", "series", True), ("sort_nulls_desc", "fps", False)])
 def test_sorts_give_all_documents_and_their_nulls(spark, small, name, column, nulls_first):
     con = oracle(small)
     rows = [tuple(r) for r in QUERIES[name](spark, small).collect()]
@@ -48,11 +48,11 @@ def test_the_snapshot_of_events_sees_the_same_share_at_every_size(spark, small):
         last = con.execute("SELECT max(event_id) * 3 // 4 FROM events").fetchone()[0]
         n, seen = con.execute(f"SELECT count(*), count(*) FILTER (event_id <= {last}) FROM events").fetchone()
         assert seen / n == pytest.approx(0.75, rel=0.01)
-        rows = {tuple(r) for r in QUERIES["snapshot_visibility_share"](spark, d).select("user_id", "event_type", "value").collect()}
-        assert rows == {tuple(r) for r in con.execute(f"SELECT user_id, event_type, value FROM ({SQL['snapshot_visibility_share']})").fetchall()}
+        rows = {tuple(r) for r in QUERIES["snapshot_visibility"](spark, d).select("user_id", "event_type", "value").collect()}
+        assert rows == {tuple(r) for r in con.execute(f"SELECT user_id, event_type, value FROM ({SQL['snapshot_visibility']})").fetchall()}
 
 
-@pytest.mark.parametrize("name", ["merge_union_segment", "merge_intersection_segment"])
+@pytest.mark.parametrize("name", ["merge_union", "merge_intersection"])
 def test_set_operations_grow_with_the_table(spark, name):
     small, large = (QUERIES[name](spark, d).count() for d in (LARGER, "/root/testdata/sf0.1"))
     assert large > 5 * small > 0
