@@ -24,8 +24,6 @@ from keyloom.sources.files import Files
 UNIT_ROWS, LEAST_UNITS = 4_000_000, 24
 #: SSTables up to which their ids go to the scan as a list.
 PUSHED = 1000
-#: Blocks of the run cover from this level up span 2**LEVEL operations or more each.
-HIGH_LEVEL = 12
 VERSION = ["keyspace_id", "key_value", "txn_id"]
 Unit = tuple[int, int]
 Span = tuple[int, int]
@@ -58,22 +56,18 @@ def run_cover(runs: DataFrame) -> DataFrame:
 def flush_state(manifest: DataFrame, runs: DataFrame) -> DataFrame:
     """The completed flushes with ``covered``: a succeeded run has the flush in its range and started at or after its completion.
 
-    Each flush asks for its own block on every level in use. Low blocks hold at most 2**HIGH_LEVEL
-    operations, so their join cannot be skewed; high ones number one in 2**HIGH_LEVEL operations,
-    and their join is left to Spark, which broadcasts it while it is small and splits skew beyond.
+    Each flush asks for its own block on every level in use, in one join with at most one row per
+    block. On a low level a block has few operations; on a high one it has many, and that join key is
+    broadcast while the cover is small and split by Spark where it is skewed.
     """
     flushes = completed_flushes(manifest)
     cover = run_cover(runs)
-    levels = F.expr("sequence(0, 61)")
-    asked = flushes.where("operation_id >= 0").select("keyspace_id", "operation_id", "completed_at", F.explode(levels).alias("level"))
-    used = cover.select("level").distinct()
-    asked = asked.join(F.broadcast(used), "level").withColumn("block", F.expr("shiftright(operation_id, level)"))
-    hits = []
-    for part in (F.col("level") < HIGH_LEVEL, F.col("level") >= HIGH_LEVEL):
-        met = asked.where(part).join(cover.where(part), ["keyspace_id", "level", "block"])
-        hits.append(met.where(F.col("last_start") >= F.col("completed_at")).select("keyspace_id", "operation_id"))
-    covered = hits[0].union(hits[1]).distinct().withColumn("covered", F.lit(True))
-    return flushes.join(covered, ["keyspace_id", "operation_id"], "left").select("keyspace_id", "operation_id", "sstable_id", F.coalesce("covered", F.lit(False)).alias("covered"))
+    # A level is one of 62 numbers; no block has level -1, which keeps flushes where there is no run.
+    used = F.broadcast(cover.select("level").union(manifest.sparkSession.range(1).select(F.lit(-1))).distinct())
+    asked = flushes.withColumn("level", F.explode(F.expr("sequence(-1, 61)"))).join(used, "level", "left_semi").withColumn("block", F.expr("if(operation_id < 0, null, shiftright(operation_id, level))"))
+    met = asked.join(cover, ["keyspace_id", "level", "block"], "left")
+    hit = F.max(F.coalesce(F.col("last_start") >= F.col("completed_at"), F.lit(False)))
+    return met.groupBy("keyspace_id", "operation_id", "sstable_id").agg(hit.alias("covered"))
 
 
 def without_last_flush(manifest: DataFrame) -> DataFrame:
