@@ -222,7 +222,7 @@ class SeenKeys:
         self._with_layers(keys).mapInArrow(run, LAYER + ", is_full boolean").write.mode("overwrite").partitionBy("is_full").parquet(f"{to}/layers")
         self.runs += 1
         self.files.write(f"{self.path}/current", json.dumps({"runs": self.runs, "shards": self.shards, "bound": self.bound}))
-        return new.count()
+        return len(few) if len(few) <= PUSHED else new.count()
 
     def ask(self, keys: DataFrame) -> DataFrame:
         """keyspace_id, key_value, probe_id with maybe_seen: false is certain; true is wrong for at most ``bound`` of the new keys."""
@@ -273,9 +273,7 @@ def verified(answers: DataFrame, versions: DataFrame, tables: DataFrame | None =
     doubt = answers.where("maybe_seen")
     rows = _known(versions).select("keyspace_id", "key_value", "sstable_id")
     if tables is not None:
-        skip = checkpointed(_skipped_tables(tables, doubt), "p3-skipped")
-        if not skip.isEmpty():
-            rows = rows.join(skip, "sstable_id", "left_anti")
+        rows = rows.join(_skipped_tables(tables, doubt), "sstable_id", "left_anti")
     keys = ["keyspace_id", "key_value"]
     n_blocks = bloom_blocks(doubt.count())
     if filter_bytes(n_blocks) <= FILTER_BYTES:
